@@ -97,21 +97,24 @@ def set_classes(df: DataFrame, record_col: str, items_col: str, least: int) -> t
 def similar_classes(classes: DataFrame, threshold: tuple[int, int], least: int, miss: float = 1e-5) -> DataFrame:
     """(class_a, class_b, common, total), class_a < class_b: similar pairs of different sets."""
     p, q = threshold
-    classes = materialize(classes)
+    # Checkpointed, so the running numbers stay what they are if an executor is lost.
+    classes = materialize(spread(classes).withColumn("k", F.monotonically_increasing_id()))
     width, segments, radius = calibrate(classes.count(), p / q, miss)
-    coded = materialize(sketch(spread(classes), width, segments))
-    # Only id, size and segment travel through the join; codes and sets follow for the survivors.
-    posted = coded.select("class_id", F.size("items").alias("size"), F.posexplode("segments").alias("segment", "value"))
-    a = posted.select(F.col("class_id").alias("class_a"), F.col("size").alias("size_a"), "segment", "value")
-    b = posted.select(F.col("class_id").alias("class_b"), F.col("size").alias("size_b"), "segment", "value")
-    near = (F.col("class_a") < F.col("class_b")) & (F.col("size_a") * q >= F.col("size_b") * p) & (F.col("size_b") * q >= F.col("size_a") * p)
-    met = a.join(b, ["segment", "value"]).filter(near).select("class_a", "class_b").distinct()
-    full = {x: coded.select(F.col("class_id").alias(f"class_{x}"), F.col("segments").alias(f"code_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab"}
-    met = met.join(full["a"], "class_a").join(full["b"], "class_b")
+    coded = materialize(sketch(classes, width, segments))
+    # Only number, size and segment travel through the join; codes and sets follow for the survivors.
+    posted = coded.select("k", F.size("items").alias("size"), F.posexplode("segments").alias("segment", "value"))
+    posted = posted.select("k", "size", (F.shiftleft(F.col("segment").cast("bigint"), 32) + F.col("value")).alias("bucket"))
+    a = posted.select(F.col("k").alias("k_a"), F.col("size").alias("size_a"), "bucket")
+    b = posted.select(F.col("k").alias("k_b"), F.col("size").alias("size_b"), "bucket")
+    near = (F.col("k_a") < F.col("k_b")) & (F.col("size_a") * q >= F.col("size_b") * p) & (F.col("size_b") * q >= F.col("size_a") * p)
+    met = a.join(b, "bucket").filter(near).select("k_a", "k_b").distinct()
+    full = {x: coded.select(F.col("k").alias(f"k_{x}"), F.col("class_id").alias(f"class_{x}"), F.col("segments").alias(f"code_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab"}
+    met = met.join(full["a"], "k_a").join(full["b"], "k_b")
     differ = F.aggregate(F.zip_with("code_a", "code_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
     met = met.filter(differ <= radius).withColumn("common", F.size(F.array_intersect("items_a", "items_b")))
     met = met.withColumn("total", F.size("items_a") + F.size("items_b") - F.col("common"))
-    return met.filter((F.col("common") >= least) & (F.col("common") * q >= F.col("total") * p)).select("class_a", "class_b", "common", "total")
+    met = met.filter((F.col("common") >= least) & (F.col("common") * q >= F.col("total") * p))
+    return met.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "common", "total")
 
 
 def similar_pairs(df: DataFrame, record_col: str = "recipe_id", items_col: str = "ingredient_ids", threshold: tuple[int, int] = (7, 10), least: int = 6, miss: float = 1e-5) -> DataFrame:
