@@ -73,3 +73,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows partitioned by these columns into a fixed number of partitions.
+
+    For Python work on groups: the adaptive plan does not merge a partitioning that was asked
+    for by number, so small groups still use all cores; a groupBy on the same keys needs no
+    further shuffle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
