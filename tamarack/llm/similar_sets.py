@@ -1,16 +1,17 @@
 """All similar pairs between set-valued records (problem 2).
 
 Method: multi-index binary sketches. Every distinct set gets a code of one-bit minhashes:
-two sets of Jaccard similarity s agree in a bit with probability (1 + s) / 2. The code is
-packed into segments; sets that agree in a whole segment meet in a pigeonhole join, are kept
-if their codes lie within a Hamming radius, and their original sets are then compared exactly.
+two sets of Jaccard similarity s agree in a bit with probability (1 + s) / 2. Part of the bits
+is packed into segments; sets that agree in a whole segment meet in a pigeonhole join. There
+they are kept if their remaining ``CODE`` bits lie within a Hamming radius, and the original
+sets of those are then compared exactly.
 
 Segment width, number of segments and radius are calibrated, not guessed. The width is the
 logarithm of the number of distinct sets, so unrelated sets seldom meet. The number of
 segments is the least for which a pair at the threshold fails to meet in any of them with
-probability below ``miss``; the radius is the binomial quantile that a pair at the threshold
-exceeds with probability below ``miss``. Pairs above the threshold are missed less often, and
-every pair returned is exact.
+probability below ``miss``; the radius is a bound of the binomial quantile that a pair at the
+threshold exceeds with probability below ``miss``. Pairs above the threshold are missed less
+often, and every pair returned is exact.
 
 Equal sets are one class before the join, so a group of copies of any size is one record
 there. Buckets have no cap: the join sorts and spills, and AQE splits skewed partitions.
@@ -34,17 +35,16 @@ from tamarack.llm.together import record_items
 from tamarack.session import materialize, spread
 
 SEED = 20_240_607
+CODE = 128
 
 
 def calibrate(sets: int, threshold: float, miss: float) -> tuple[int, int, int]:
-    """(segment width, segments, Hamming radius) for this many distinct sets."""
+    """(segment width, segments, Hamming radius of the code) for this many distinct sets."""
     same = (1 + threshold) / 2
     width = min(30, max(8, math.ceil(math.log2(max(sets, 2)))))
     segments = math.ceil(math.log(miss) / math.log1p(-(same**width)))
-    bits = width * segments
-    mean, sd = bits * (1 - same), math.sqrt(bits * same * (1 - same))
     z = math.sqrt(-2 * math.log(miss))  # a bound of the normal quantile
-    return width, segments, math.ceil(mean + z * sd)
+    return width, segments, math.ceil(CODE * (1 - same) + z * math.sqrt(CODE * same * (1 - same)))
 
 
 def _hash_items(items: pd.Series) -> np.ndarray:
@@ -54,12 +54,13 @@ def _hash_items(items: pd.Series) -> np.ndarray:
 
 
 def sketch(sets: DataFrame, width: int, segments: int) -> DataFrame:
-    """Adds ``segments`` array<int> to (class_id, items array<bigint>): the packed one-bit minhashes."""
-    bits = width * segments
+    """Adds to a column ``items`` of array<bigint>: ``packed``, the code as two numbers and then the segments."""
+    bits = CODE + width * segments
     rng = np.random.default_rng(SEED)
     xor = rng.integers(0, 1 << 32, bits, dtype=np.uint32)
     mul = rng.integers(0, 1 << 31, bits, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     weights = (1 << np.arange(width)).astype(np.int64)
+    half = 1 << np.arange(64, dtype=np.uint64)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lists in parts:
@@ -75,12 +76,14 @@ def sketch(sets: DataFrame, width: int, segments: int) -> DataFrame:
                     least = low if least is None else np.minimum(least, low)
                 block.append((least >> np.uint32(5)) & np.uint32(1))
                 if len(block) == 256 or k + 1 == len(lists):
-                    packed = np.stack(block).reshape(len(block), segments, width) @ weights
-                    out += list(packed.astype(np.int32))
+                    all_bits = np.stack(block)
+                    code = (all_bits[:, :CODE].astype(np.uint64).reshape(len(block), 2, 64) * half).sum(axis=2).view(np.int64)
+                    parts_of = all_bits[:, CODE:].reshape(len(block), segments, width) @ weights
+                    out += list(np.concatenate([code, parts_of], axis=1))
                     block = []
             yield pd.Series(out, dtype=object)
 
-    return sets.withColumn("segments", F.pandas_udf(run, "array<int>")("items"))
+    return sets.withColumn("packed", F.pandas_udf(run, "array<bigint>")("items"))
 
 
 def set_classes(df: DataFrame, record_col: str, items_col: str, least: int) -> tuple[DataFrame, DataFrame]:
@@ -100,18 +103,18 @@ def similar_classes(classes: DataFrame, threshold: tuple[int, int], least: int,
     # Checkpointed, so the running numbers stay what they are if an executor is lost.
     classes = materialize(spread(classes).withColumn("k", F.monotonically_increasing_id()))
     width, segments, radius = calibrate(classes.count(), p / q, miss)
-    coded = materialize(sketch(classes, width, segments))
-    # Only number, size and segment travel through the join; codes and sets follow for the survivors.
-    posted = coded.select("k", F.size("items").alias("size"), F.posexplode("segments").alias("segment", "value"))
-    posted = posted.select("k", "size", (F.shiftleft(F.col("segment").cast("bigint"), 32) + F.col("value")).alias("bucket"))
-    a = posted.select(F.col("k").alias("k_a"), F.col("size").alias("size_a"), "bucket")
-    b = posted.select(F.col("k").alias("k_b"), F.col("size").alias("size_b"), "bucket")
-    near = (F.col("k_a") < F.col("k_b")) & (F.col("size_a") * q >= F.col("size_b") * p) & (F.col("size_b") * q >= F.col("size_a") * p)
-    met = a.join(b, "bucket").filter(near).select("k_a", "k_b").distinct()
-    full = {x: coded.select(F.col("k").alias(f"k_{x}"), F.col("class_id").alias(f"class_{x}"), F.col("segments").alias(f"code_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab"}
-    met = met.join(full["a"], "k_a").join(full["b"], "k_b")
-    differ = F.aggregate(F.zip_with("code_a", "code_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    met = met.filter(differ <= radius).withColumn("common", F.size(F.array_intersect("items_a", "items_b")))
+    coded = materialize(sketch(classes, width, segments).select("k", F.size("items").alias("size"), "packed"))
+    # Number, size and code travel through the join; sets follow for the survivors only.
+    code = [F.get("packed", F.lit(i)).alias(f"code{i}") for i in (0, 1)]
+    posted = coded.select("k", "size", *code, F.posexplode(F.slice("packed", 3, segments)).alias("segment", "value"))
+    posted = posted.select("k", "size", "code0", "code1", (F.shiftleft(F.col("segment").cast("bigint"), 32) + F.col("value")).alias("bucket"))
+    a = posted.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("k", "size", "code0", "code1")])
+    b = posted.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("k", "size", "code0", "code1")])
+    sizes = (F.col("size_a") * q >= F.col("size_b") * p) & (F.col("size_b") * q >= F.col("size_a") * p)
+    distance = sum((F.bit_count(F.col(f"code{i}_a").bitwiseXOR(F.col(f"code{i}_b"))) for i in (0, 1)), F.lit(0))
+    met = a.join(b, "bucket").filter((F.col("k_a") < F.col("k_b")) & sizes & (distance <= radius)).select("k_a", "k_b").distinct()
+    full = {x: classes.select(F.col("k").alias(f"k_{x}"), F.col("class_id").alias(f"class_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab"}
+    met = met.join(full["a"], "k_a").join(full["b"], "k_b").withColumn("common", F.size(F.array_intersect("items_a", "items_b")))
     met = met.withColumn("total", F.size("items_a") + F.size("items_b") - F.col("common"))
     met = met.filter((F.col("common") >= least) & (F.col("common") * q >= F.col("total") * p))
     return met.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "common", "total")
