@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 SITEMAP = "loc string, lastmod string"
 MANIFEST = "map<string,struct<lastmod:string,scrapedAt:string,status:string,error:string>>"
@@ -55,7 +56,7 @@ def write_list(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
 
 
-@F.pandas_udf("struct<width:int,height:int>")
+@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
 def image_size(content: pd.Series) -> pd.DataFrame:
     """Width and height from the header of PNG, GIF and JPEG bytes; null where unknown."""
 
