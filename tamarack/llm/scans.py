@@ -5,7 +5,7 @@ headers and page numbers), body and break (titles, headings, step numbers, "Serv
 Observations are layout features of a line: its pattern, its place on the page, how its number
 relates to the page number, whether it repeats the title. The model is trained on the corpus
 itself: lines whose pattern is decisive are labels, counted by one distributed aggregate, and
-Viterbi decoding settles the rest (a lone number at the foot of a page is a page number, in
+Viterbi decoding, with those labels held, settles the rest (a lone number at the foot of a page is a page number, in
 the middle a step number). Paragraphs are the body lines between two breaks, headers left out.
 
 A word cut at a line end is joined with the first word of the next body line, on the next page
@@ -268,17 +268,19 @@ class Model:
                 for v in vs:
                     self.logs[factor, s, v] = math.log((table.get((factor, s, v), 0) + 1) / (total + len(vs)))
 
-    def emission(self, pattern: str, place: str, number: str) -> np.ndarray:
+    def emission(self, pattern: str, place: str, number: str, seed: str) -> np.ndarray:
+        if seed:  # a label, not a guess
+            return np.array([0.0 if s == seed else -1e6 for s in STATES])
         # A lone number may be either: its pattern says nothing beyond "not body".
         p = [0.0, -12.0, 0.0] if pattern == "bare" else [self.logs.get(("pattern", s, pattern), -12.0) for s in STATES]
         return np.array([p[k] + self.logs.get(("place", s, place), -8.0) + self.logs.get(("number", s, number if pattern in ("bare", "title") else "none"), -4.0) for k, s in enumerate(STATES)])
 
-    def decode(self, lines: list[tuple[str, str, str]]) -> list[str]:
+    def decode(self, lines: list[tuple[str, str, str, str]]) -> list[str]:
         """The most probable states of one page (Viterbi)."""
         if not lines:
             return []
         trans = np.array([[self.logs.get(("next", a, b), -3.0) for b in STATES] for a in STATES])
-        score = np.array([self.logs.get(("next", s, s), 0.0) * 0 for s in STATES]) + self.emission(*lines[0])
+        score = self.emission(*lines[0])
         back = []
         for line in lines[1:]:
             step = score[:, None] + trans
@@ -311,9 +313,11 @@ def scan_lines(ocr: DataFrame | None, steps: DataFrame | None) -> DataFrame:
 
 def running_titles(lines: DataFrame) -> list[str]:
     """Folded texts that stand at page edges in several drafts, and hardly anywhere else."""
-    ocr = lines.filter("kind = 'ocr_line' and text is not null").withColumn("key", _fold_column(_title_part(F.col("text")))).filter(F.length("key") >= 6)
-    edge = ocr.groupBy("draft", "page").agg(F.min_by("key", "line").alias("a"), F.max_by("key", "line").alias("b"))
-    edge = edge.select("draft", F.explode(F.array_distinct(F.array("a", "b"))).alias("key")).groupBy("key").agg(F.count("*").alias("n_edge"), F.count_distinct("draft").alias("drafts")).filter("drafts >= 2")
+    # Short keys, as of page numbers, are left out only after the edges are found.
+    every_line = lines.filter("kind = 'ocr_line' and text is not null").withColumn("key", _fold_column(_title_part(F.col("text"))))
+    ocr = every_line.filter(F.length("key") >= 6)
+    edge = every_line.groupBy("draft", "page").agg(F.min_by("key", "line").alias("a"), F.max_by("key", "line").alias("b"))
+    edge = edge.select("draft", F.explode(F.array_distinct(F.array("a", "b"))).alias("key")).filter(F.length("key") >= 6).groupBy("key").agg(F.count("*").alias("n_edge"), F.count_distinct("draft").alias("drafts")).filter("drafts >= 2")
     every = ocr.join(edge.select("key"), "key", "left_semi").groupBy("key").agg(F.count_distinct("draft", "page").alias("n"))
     found = edge.join(every, "key").filter("n_edge >= 0.8 * n and n_edge >= 3").select("key").limit(MOST + 1).collect()
     if len(found) > MOST:
@@ -514,7 +518,7 @@ def repair(ocr: DataFrame | None, steps: DataFrame | None, clean: list[DataFrame
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = ordered(pdf)
-        feats = list(zip(pdf["pattern"], pdf["place"], pdf["number"], strict=True))
+        feats = list(zip(pdf["pattern"], pdf["place"], pdf["number"], pdf["seed"], strict=True))
         labels: list[str] = []
         page_key = list(zip(pdf["page"].fillna(-1), pdf["record_id"] if pdf["kind"].iloc[0] == "card_step" else [0] * len(pdf), strict=True))
         start = 0
@@ -528,7 +532,7 @@ def repair(ocr: DataFrame | None, steps: DataFrame | None, clean: list[DataFrame
         return pdf[~pdf["context"]][["kind", "record_id", "draft", "block", "page", "line", "label", "furniture", "hyphen", "misread", "para", "text", "joins"]]
 
     out = "kind string, record_id bigint, draft string, block bigint, page bigint, line bigint, label string, furniture boolean, hyphen boolean, misread boolean, para int, text string, joins boolean"
-    return by_key(observed.drop("seed", "before"), "kind", "draft", "block").groupBy("kind", "draft", "block").applyInPandas(decide, out)
+    return by_key(observed.drop("before"), "kind", "draft", "block").groupBy("kind", "draft", "block").applyInPandas(decide, out)
 
 
 # ---- cells of ingredient tables -------------------------------------------------------------
