@@ -18,7 +18,8 @@ target_share * tokens of all documents that state a source.
 Defined results: null or blank texts have 0 tokens and keep their place in the result with
 rate and copies; a source that is null or blank after trimming counts as missing; a stated
 source outside the target table adds to the total and has rate 0; a target without documents
-has 0 tokens; repeated rows of an id count once; an empty target table gives an empty
+has 0 tokens; repeated rows of an id count once (but
+each in the training of the classifier); an empty target table gives an empty
 result; other columns are ignored. Very long texts are tokenised in whole.
 """
 
@@ -63,39 +64,57 @@ def _features(text: str) -> np.ndarray:
     return (pd.util.hash_array(np.array(ws, dtype=object), categorize=True) % BUCKETS).astype(np.int32) if ws else np.empty(0, np.int32)
 
 
-def token_counts(df: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, domain, tokens, features): one row for each id. ``features`` is null where the source is stated.
+def _documents(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), source_key(F.col(f"`{source_col}`")).alias("domain"), F.col(f"`{text_col}`").alias("text"))
+    return spread(rows.filter("doc_id is not null"))
 
-    The text is read once: tokens for all, hashed words only where the classifier will need them.
+
+def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, domain, tokens, features): one row for each id; hashed words only where no source is stated.
+
+    Texts are not shuffled, and of most documents nothing but three short columns is.
     """
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), source_key(F.col(f"`{source_col}`")).alias("domain"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
         for part in parts:
             texts = part["text"].fillna("").tolist()
             n = [len(x) for x in enc.encode_ordinary_batch(texts, num_threads=1)]
-            words = [_features(t).tolist() for t in texts]
+            words = [None if d is not None else _features(t).tolist() for t, d in zip(texts, part["domain"], strict=True)]
             yield pd.DataFrame({"doc_id": part["doc_id"], "domain": part["domain"], "tokens": n, "features": words})
 
-    counted = spread(rows).mapInPandas(count, "doc_id bigint, domain string, tokens bigint, features array<int>")
+    counted = documents.mapInPandas(count, "doc_id bigint, domain string, tokens bigint, features array<int>")
     return counted.groupBy("doc_id").agg(F.min(F.struct("domain", "tokens", "features")).alias("r")).select("doc_id", "r.domain", "r.tokens", "r.features")
 
 
-def fit_classifier(labelled: DataFrame, domains: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(log prior, log likelihood) of multinomial naive Bayes with add-one smoothing.
+def fit_classifier(documents: DataFrame, domains: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(log prior, log likelihood) of multinomial naive Bayes with add-one smoothing, over the rows that state a source.
 
-    Counts cover all labelled documents; they aggregate on the map side into at most
-    domains x buckets rows, which is what reaches the driver.
+    Each task counts its rows into one table of domains x buckets; the sums of those, at most as
+    many numbers, reach the driver.
     """
     at = {d: k for k, d in enumerate(domains)}
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, rows = np.zeros((len(domains), BUCKETS), np.int64), np.zeros(len(domains), np.int64)
+        for part in parts:
+            for d, t in zip(part["domain"], part["text"], strict=True):
+                rows[at[d]] += 1
+                if t:
+                    words[at[d]] += np.bincount(_features(t), minlength=BUCKETS)
+        d, b = np.nonzero(words)
+        e = np.flatnonzero(rows)
+        yield pd.DataFrame({"d": np.concatenate([d, e]), "b": np.concatenate([b, np.full(len(e), -1)]), "n": np.concatenate([words[d, b], rows[e]])})
+
+    labelled = documents.filter(F.col("domain").isin(domains)).select("domain", "text")
+    sums = labelled.mapInPandas(count, "d int, b int, n bigint").groupBy("d", "b").agg(F.sum("n").alias("n"))
     prior, words = np.ones(len(domains)), np.ones((len(domains), BUCKETS))
-    for r in labelled.groupBy("domain").count().collect():
-        prior[at[r["domain"]]] += r["count"]
-    pairs = labelled.select("domain", F.explode("features").alias("bucket")).groupBy("domain", "bucket").count()
-    found = pairs.groupBy("domain").agg(F.collect_list("bucket").alias("b"), F.collect_list("count").alias("n"))
-    for r in found.collect():
-        words[at[r["domain"]], r["b"]] += r["n"]
+    for r in sums.groupBy("d").agg(F.collect_list(F.struct("b", "n")).alias("c")).collect():
+        for b, n in r["c"]:
+            if b < 0:
+                prior[r["d"]] += n
+            else:
+                words[r["d"], b] += n
     return np.log(prior / prior.sum()), np.log(words / words.sum(axis=1, keepdims=True))
 
 
@@ -185,13 +204,14 @@ class Mixture:
         self.keys = [r.source.strip().lower().replace("-", "_") for r in self.targets]
         share = np.array([r.target_share for r in self.targets], dtype=float)
         cap = np.array([r.max_repeats for r in self.targets], dtype=float)
-        rows = materialize(token_counts(documents, doc_id, text, source, tokenizer))
+        texts = _documents(documents, doc_id, text, source)
+        rows = materialize(token_counts(texts, tokenizer))
         stated = rows.filter(F.col("domain").isNotNull()).groupBy("domain").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
         self.stated = {r["domain"]: (r["tokens"], r["documents"]) for r in stated.filter(F.col("domain").isin(self.keys)).collect()}
         self.total = rows.filter(F.col("domain").isNotNull()).agg(F.sum("tokens")).first()[0] or 0
         self.rows, self.steps, totals = None, [], np.zeros(len(self.keys))
         if self.keys:
-            model = fit_classifier(rows.filter(F.col("domain").isin(self.keys)), self.keys)
+            model = fit_classifier(texts, self.keys)
             self.rows = posteriors(rows, self.keys, model)
             grouped = materialize(self.rows.groupBy("membership").agg(F.sum("tokens").alias("tokens")))
             self.steps, totals = fit_rates(grouped, share * self.total, cap)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.together import record_items
-from tamarack.session import materialize, spread
+from tamarack.session import by_key, materialize, spread
 
 SEED = 20_240_607
 CODE = 128
@@ -101,7 +101,7 @@ def similar_classes(classes: DataFrame, threshold: tuple[int, int], least: int,
     """(class_a, class_b, common, total), class_a < class_b: similar pairs of different sets."""
     p, q = threshold
     # Checkpointed, so the running numbers stay what they are if an executor is lost.
-    classes = materialize(spread(classes).withColumn("k", F.monotonically_increasing_id()))
+    classes = materialize(by_key(classes, "class_id").withColumn("k", F.monotonically_increasing_id()))
     width, segments, radius = calibrate(classes.count(), p / q, miss)
     coded = materialize(sketch(classes, width, segments).select("k", F.size("items").alias("size"), "packed"))
     # Number, size and code travel through the join; sets follow for the survivors only.
