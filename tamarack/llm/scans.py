@@ -540,20 +540,43 @@ def repair(ocr: DataFrame | None, steps: DataFrame | None, clean: list[DataFrame
 _AMOUNT = r"(?:\d*[¼½¾⅓⅔⅛⅜⅝⅞]|\d+(?:[.,/]\d+)?(?![¼½¾⅓⅔⅛⅜⅝⅞]))"
 
 
-def cells(quantities: DataFrame, least_share: float = 0.003) -> DataFrame:
+def sound_units(candidates: list[tuple[str, int]], fixed: set[str]) -> set[str]:
+    """Units that are not misreads of others, of (unit, evidence): the fixed ones, and from the best attested on those that no known one explains.
+
+    A unit is explained if usual confusions undone make it a known one, if it is a known one behind
+    misread digits ("2o g", "1OO grams", "5 s ml"), or if its first letter went to the number ("15achet").
+    """
+    known = set(fixed)
+    for unit, _ in sorted(candidates, key=lambda c: (-c[1], c[0])):
+        if unit in known:
+            continue
+        lexicon = Lexicon(known)
+        rests = [unit[m.end() :] for n in range(1, 9) if (m := re.match(rf"(?:[oslizbg] ?){{{n}}}", unit))]
+        ways = [unit, *filter(None, rests)]
+        if not any(w in known or lexicon.original(w) is not None for w in ways) and not any(c + unit in known for c in "oslizbg"):
+            known.add(unit)
+    return known
+
+
+def cells(quantities: DataFrame, least_drafts: int = 3) -> DataFrame:
     """(record_id, misread, clean): cells of the quantity column. A cell is sound if it is an amount and a known unit.
 
-    Units are known from the unit tables, or because at least ``least_share`` of all cells (and three of
-    them) have them, so the learned list has at most 1 / least_share entries. Empty cells are sound.
+    Units are known from the unit tables, or because cells of at least ``least_drafts`` distinct drafts
+    (cells, where no drafts are given) have them and ``sound_units`` finds no other unit behind them.
+    The share of all cells does not count. Empty cells are sound. Raises ValueError if there are more
+    than ``MOST`` candidates.
     """
-    rows = quantities.select(F.col("cell_id").cast("bigint").alias("record_id"), F.col("raw_text").alias("t")).filter("record_id is not null")
-    rows = rows.groupBy("record_id").agg(F.trim(F.min("t")).alias("t"))
+    draft = F.coalesce(F.col("draft_id").cast("string"), F.lit("")) if "draft_id" in quantities.columns else F.col("cell_id").cast("string")
+    rows = quantities.select(F.col("cell_id").cast("bigint").alias("record_id"), F.col("raw_text").alias("t"), draft.alias("d")).filter("record_id is not null")
+    rows = rows.groupBy("record_id").agg(F.trim(F.min("t")).alias("t"), F.min_by("d", "t").alias("d"))
     unit = F.regexp_extract("t", rf"^{_AMOUNT} ?(\D.*)$", 1)
     rows = materialize(rows.withColumn("unit", F.lower(unit)))
-    total = rows.count()
-    fixed = [(a,) for u in UNITS for a in u[3]] + [(c,) for c in CONTAINERS]
-    learned = rows.filter("unit <> ''").groupBy("unit").count().filter((F.col("count") >= max(3, total * least_share)) & F.col("unit").rlike(r"^[a-z][a-z ()]*$")).select("unit")
-    known = learned.unionByName(rows.sparkSession.createDataFrame(fixed, "unit string")).distinct().withColumn("ok", F.lit(True))
+    fixed = {a for u in UNITS for a in u[3]} | set(CONTAINERS)
+    often = rows.filter((F.col("unit") != "") & F.col("unit").rlike(r"^[a-z][a-z ()]*$")).select("unit", "d").distinct().groupBy("unit").count().filter(F.col("count") >= least_drafts).limit(MOST + 1).collect()
+    if len(often) > MOST:
+        raise ValueError("too many units to broadcast")
+    sound = sound_units([(r["unit"], r["count"]) for r in often], fixed)
+    known = rows.sparkSession.createDataFrame([(u,) for u in sorted(sound)], "unit string").withColumn("ok", F.lit(True))
     out = rows.join(F.broadcast(known), "unit", "left")
     blank = F.coalesce("t", F.lit("")) == ""
     bare_number = F.col("t").rlike(rf"^{_AMOUNT}$")

@@ -202,6 +202,15 @@ def test_cells(spark):
     assert scans.cells(df.limit(0)).count() == 0
 
 
+def test_units_of_cells_by_drafts(spark):
+    misread = ["2o g", "1OO grams", "5 sgrams", "2o ml", "5OO ml", "15achet", "2 smaII pot", "1o small pot", "2 grarns"]
+    rows = [(d, f"{i}", t) for i in range(4) for d, t in enumerate(misread, 100 * i)]
+    rows += [(1000 + i, f"p{i}", "2 small pot") for i in range(9)] + [(1100 + i, f"t{i}", "1 tub") for i in range(3)] + [(1200 + i, "one", "1 zork") for i in range(50)]
+    rows += [(2000 + i, "hot", "2o g") for i in range(40)] + [(3000 + i, "hot", "5 g") for i in range(2000)]
+    out = {r.record_id: r.misread for r in scans.cells(spark.createDataFrame(rows, "cell_id long, draft_id string, raw_text string")).collect()}
+    assert {i for i, bad in out.items() if bad} == {100 * i + d for i in range(4) for d in range(len(misread))} | set(range(1200, 1250)) | set(range(2000, 2040))
+
+
 def test_undone_confusions():
     lexicon = scans.Lexicon({"butter", "line", "plum", "non-stick", "stick", "non", "heat", "beat"})
     assert [lexicon.original(w) for w in ("but†er", "lme", "pliim", "butter", "non-5tick", "heat", "zzzzz")] == ["butter", "line", "plum", None, "non-stick", None, None]
