@@ -13,8 +13,8 @@ if need be. Misread characters are found with a lexicon of words: clean texts of
 domain, and words of the running titles. A word that is not in it but becomes one of its words
 when usual confusions are undone is a misread; so is a letter and digit mix and a stray mark.
 
-What reaches the driver: model counts, the lexicon (words above a least share of the corpus, so
-at most 1 / share words) and the running titles (checked against ``MOST``).
+What reaches the driver: model counts, the lexicon (every distinct clean word, checked against
+``MOST_WORDS``) and the running titles (checked against ``MOST``).
 Pages are decoded in blocks of at most 32 pages and 1024 lines with the next page as context,
 so a draft of any size never gathers in one task.
 
@@ -39,6 +39,7 @@ from tamarack.operators.units import UNITS
 from tamarack.session import by_key, materialize
 
 MOST = 1_000_000
+MOST_WORDS = 5_000_000
 STATES = ("header", "body", "break")
 # Marks that cut a word at a line end; marks that scanning adds.
 CUTS = "-\xad¬‐‑–"
@@ -325,10 +326,11 @@ def running_titles(lines: DataFrame) -> list[str]:
     return [r["key"] for r in found]
 
 
-def lexicon_words(clean: list[Column | DataFrame], lines: DataFrame, titles: list[str], least_share: float = 1e-6) -> set[str]:
+def lexicon_words(clean: list[Column | DataFrame], lines: DataFrame, titles: list[str], most: int = MOST_WORDS) -> set[str]:
     """Words of the clean texts, and words of the running titles that are not misreads of others.
 
-    ``clean`` are data frames of one text column.
+    ``clean`` are data frames of one text column. Every distinct word of them is kept, however rare.
+    Raises ValueError if there are more than ``most``, rather than leave any out.
     """
     texts = None
     for df in clean:
@@ -341,9 +343,10 @@ def lexicon_words(clean: list[Column | DataFrame], lines: DataFrame, titles: lis
         return df.filter("text is not null").select(token.alias("w")).filter(F.col("w").rlike(r"^[\p{L}][\p{L}'’-]*$")).groupBy("w").count()
 
     if texts is not None:
-        counts = materialize(counted(texts))
-        total = counts.agg(F.sum("count")).first()[0] or 0
-        for r in counts.filter(F.col("count") >= total * least_share).collect():
+        found = counted(texts).select("w").limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError("too many clean words to broadcast")
+        for r in found:
             words.add(r["w"])
             words.update(p for p in r["w"].split("-") if p)
     spark = lines.sparkSession
@@ -482,7 +485,7 @@ def repair(ocr: DataFrame | None, steps: DataFrame | None, clean: list[DataFrame
     name_rows = names.select(F.col(names.columns[0]).alias("n")).filter("n is not null").distinct().limit(MOST + 1).collect()
     if len(name_rows) > MOST:
         raise ValueError("too many names to broadcast")
-    words = lexicon_words(clean, lines, titles)
+    words = lexicon_words([*clean, names], lines, titles)
     shared = sc.broadcast((titles, {fold(r["n"]) for r in name_rows}, words))
     block = (F.coalesce("page", F.lit(0)) / 32).cast("bigint") * 1_000_000 + (F.coalesce("line", F.lit(0)) / 1024).cast("bigint")
     context = F.when((F.col("kind") == "ocr_line") & (F.col("page") % 32 == 0) & (F.col("line") < 1024) & (F.col("page") > 0), F.array(F.col("b"), F.col("b") - 1_000_000)).otherwise(F.array("b"))

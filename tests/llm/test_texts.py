@@ -211,6 +211,15 @@ def test_units_of_cells_by_drafts(spark):
     assert {i for i, bad in out.items() if bad} == {100 * i + d for i in range(4) for d in range(len(misread))} | set(range(1200, 1250)) | set(range(2000, 2040))
 
 
+def test_lexicon_keeps_rare_words(spark):
+    clean = spark.range(1, numPartitions=1).select(F.concat(F.lit("jinkeldale "), F.repeat(F.lit("onion rice "), 1_000_000)).alias("t"))
+    lines = spark.createDataFrame([], "kind string, text string")
+    words = scans.lexicon_words([clean], lines, [])
+    assert {"jinkeldale", "onion", "rice"} <= words
+    with pytest.raises(ValueError):
+        scans.lexicon_words([clean], lines, [], 2)
+
+
 def test_undone_confusions():
     lexicon = scans.Lexicon({"butter", "line", "plum", "non-stick", "stick", "non", "heat", "beat"})
     assert [lexicon.original(w) for w in ("but†er", "lme", "pliim", "butter", "non-5tick", "heat", "zzzzz")] == ["butter", "line", "plum", None, "non-stick", None, None]
