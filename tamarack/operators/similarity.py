@@ -8,6 +8,8 @@ most frequent ingredients, whose groups grow with the square, hardly ever meet.
 
 from __future__ import annotations
 
+from graphlib import TopologicalSorter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,14 +49,16 @@ def overlaps(items: DataFrame, recipes: int, least: int = 6) -> DataFrame:
     return common.join(wa, "id_a").join(wb, "id_b").select("id_a", "id_b", "shared", F.round(score, 9).alias("overlap"))
 
 
-def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 50, at_once: int = 200_000) -> DataFrame:
     """(variant_id, primary_id): every variant is linked to its primary directly, never through others.
 
     Nodes (id, score) are ranked by score falling, then id; a node is a primary if no better-ranked
     neighbour is one. Decided in rounds: an open node with no open better neighbour and no better
     primary becomes a primary, and open neighbours of primaries become variants. Every variant belongs to
     its best-ranked primary. Edges (id_a, id_b) are symmetric, as for lists without repeats; the state is
-    checkpointed each round, links stay on the cluster.
+    checkpointed each round, links stay on the cluster. A round may decide no more than one node of a
+    chain, so after ``rounds`` of them the open rest is decided in one pass on the driver, once it has
+    at most ``at_once`` nodes and links; until then the rounds go on, each deciding at least one node.
     """
     score = nodes.filter("id is not null").groupBy("id").agg(F.max("score").alias("score"))
     rank = F.struct(-F.col("score").alias("s"), F.col("id").alias("i"))
@@ -63,19 +67,42 @@ def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataF
     both = both.join(ranks.select(F.col("id").alias("id_a"), F.col("rank").alias("rank_a")), "id_a").join(ranks.select(F.col("id").alias("id_b"), F.col("rank").alias("rank_b")), "id_b")
     better = materialize(both.filter("rank_b < rank_a").select("id_a", "id_b", "rank_b"))  # id_b ranks better than id_a
     state = materialize(better.select(F.col("id_a").alias("id")).union(better.select("id_b")).distinct().withColumn("state", F.lit("open")))
-    for _ in range(rounds):
+    done = 0
+    while not state.filter("state = 'open'").isEmpty():
+        if done >= rounds and (rest := _decided(state, better, at_once)) is not None:
+            state = materialize(state.join(rest, "id", "left").select("id", F.coalesce("decided", "state").alias("state")))
+            break
+        done += 1
         seen = better.join(state.withColumnRenamed("id", "id_b"), "id_b").groupBy(F.col("id_a").alias("id")).agg(F.bool_or(F.col("state") == "primary").alias("taken"), F.bool_or(F.col("state") == "open").alias("waits"))
         taken, waits = F.coalesce("taken", F.lit(False)), F.coalesce("waits", F.lit(False))
         new = F.when(F.col("state") != "open", F.col("state")).when(taken, "variant").when(~waits, "primary").otherwise("open")
         state = materialize(state.join(seen, "id", "left").select("id", new.alias("state")))
-        if state.filter("state = 'open'").isEmpty():
-            break
     primaries = state.filter("state = 'primary'").select(F.col("id").alias("id_b"))
     variants = state.filter("state = 'variant'").select(F.col("id").alias("id_a"))
     links = better.join(primaries, "id_b", "left_semi").join(variants, "id_a", "left_semi")
     return links.groupBy(F.col("id_a").alias("variant_id")).agg(F.min_by("id_b", "rank_b").alias("primary_id"))
 
 
+def _decided(state: DataFrame, better: DataFrame, most: int) -> DataFrame | None:
+    """(id, decided) of all open nodes, best-ranked first; None if they and their undecided links are more than ``most``."""
+    nodes = state.filter("state = 'open'").select("id").limit(most + 1).collect()
+    if len(nodes) > most:
+        return None
+    links = better.join(state.filter("state = 'open'").select(F.col("id").alias("id_a")), "id_a", "left_semi")
+    links = links.join(state.filter("state <> 'variant'").withColumnRenamed("id", "id_b"), "id_b").select("id_a", "id_b", "state").limit(most + 1).collect()
+    if len(links) > most:
+        return None
+    waits_for: dict = {r["id"]: [] for r in nodes}
+    decided = {r["id_b"]: "primary" for r in links if r["state"] == "primary"}
+    for r in links:
+        waits_for[r["id_a"]].append(r["id_b"])
+    for n in TopologicalSorter(waits_for).static_order():
+        if n in waits_for:
+            decided[n] = "variant" if any(decided[b] == "primary" for b in waits_for[n]) else "primary"
+    kind = state.schema["id"].dataType.simpleString()
+    return state.sparkSession.createDataFrame([(n, decided[n]) for n in waits_for], f"id {kind}, decided string")
+
+
 def write_back(recipes: DataFrame, clusters: DataFrame) -> DataFrame:
     """Recipes with ``variant_of_id`` reset and set from the clusters."""
     return recipes.drop("variant_of_id").join(clusters.select(F.col("variant_id").alias("id"), F.col("primary_id").alias("variant_of_id")), "id", "left")

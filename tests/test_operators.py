@@ -66,6 +66,17 @@ def test_star_clusters_like_the_sequential_pass(spark):
     assert {r.variant_id: r.primary_id for r in out.collect()} == claimed
 
 
+def test_star_clusters_of_a_long_chain(spark):
+    n = 13
+    ids = [f"n{i:02d}" for i in range(n)]
+    nodes = spark.createDataFrame([(i, 1) for i in ids], "id string, score int")
+    edges = spark.createDataFrame([x for a, b in itertools.pairwise(ids) for x in ((a, b), (b, a))], "id_a string, id_b string")
+    want = {ids[i]: ids[i - 1] for i in range(1, n, 2)}
+    for at_once in (200_000, 0):  # the rest on the driver, and by rounds alone
+        out = similarity.star_clusters(nodes, edges, 3, at_once).collect()
+        assert {r.variant_id: r.primary_id for r in out} == want
+
+
 def test_suggestions(spark):
     pool = spark.createDataFrame([(f"r{i}", list("abcdef"[i % 3 : i % 3 + 3]), float(i)) for i in range(7)], "id string, items array<string>, quality double")
     combos = suggest.combinations(pool, 3)
