@@ -9,7 +9,8 @@ the value's length are returned, nearest first.
 
 Before the search a value is brought to a few readings: amounts, packs, decorations, brand and
 preparation remarks are taken off, inverted forms ("oil, olive"; "radish (island)") are put in
-order, a plural ending is dropped. Letters are compared without spaces, hyphens and accents, so
+order, a plural ending is dropped. Every part of a value between marks is read, and pairs of parts
+fewer than ``PAIR_REACH`` apart. Letters are compared without spaces, hyphens and accents, so
 joined or split words cost nothing. The reading with the least distance wins.
 
 The reference list is small by nature; its size is checked against ``max_entries``. It is built
@@ -40,6 +41,8 @@ from tamarack.operators.units import NUMBER, UNIT
 from tamarack.session import by_key
 
 NONE = "none"
+# Fixed value: parts of a name this far apart are not read as one name.
+PAIR_REACH = 5
 # Words that say in what or how a thing is sold, not what it is.
 CONTAINERS = "unit(s) units unit clove(s) cloves clove sachet(s) sachets sachet bunch(es) bunches bunch ball(s) balls ball pinch(es) pinches pinch pack(s) packs pack slice(s) slices slice piece(s) pieces piece pce block(s) blocks block carton(s) cartons carton pot(s) pots pot tin(s) tins tin jar(s) jars jar punnet(s) punnets punnet bottle(s) bottles bottle bag(s) bags bag handful(s) handfuls handful can(s) cans can cm mm".split()
 # Remarks of quality and brand that may stand before a name.
@@ -119,9 +122,9 @@ def readings(value: str) -> list[str]:
     for v in dict.fromkeys(variants):
         v = _FOR.sub(" ", v)
         parts = [p for s in _SEGMENT.split(v) if (p := _bare([w for w in _WORDS.findall(s) if w not in ("of",)]))]
-        parts = parts[:5]
         orders = [p for p in ([w for q in parts for w in q], *parts) if p]
-        orders += [p + q for i, p in enumerate(parts) for j, q in enumerate(parts) if i != j]
+        # All pairs of a usual value; of one with many parts each with its next ones, so that their number grows with the parts only.
+        orders += [p + q for i, p in enumerate(parts) for j, q in enumerate(parts) if i != j and abs(i - j) < PAIR_REACH]
         for ws in orders:
             ws = _bare(ws)
             out.setdefault("".join(ws))

@@ -139,6 +139,14 @@ def test_meant_entries(value, want):
     assert trie.resolve(value)[0] == want
 
 
+def test_parts_far_behind_are_read():
+    trie = canonical.Trie([("1", "lemon"), ("2", "olive oil")])
+    assert trie.resolve("large, ripe cut, washed twice, chilled, in a bag, lemon")[0] == "1"
+    assert trie.resolve("tall, ripe cut, washed twice, chilled, in a bag, cold, oil, olive")[0] == "2"
+    few, many = (len(canonical.readings(", ".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)))) for n in (100, 200))
+    assert many < 2.2 * few
+
+
 def test_mapping_of_tables(spark):
     ref = spark.createDataFrame(REFERENCE, "id string, canonical_name string").withColumn("name", F.lit("clash"))
     alias = spark.createDataFrame([("kotlin style", "2"), (None, "3")], "raw_text string, ingredient_id string")
