@@ -47,6 +47,12 @@ def shopping_list(spark, sf_dir):
     return basket.ordered_lines(basket.shopping_lines(entries.join(F.broadcast(first), "plan_id", "left_semi"), names))
 
 
+def shopping_lists(spark, sf_dir):
+    """The printable list of every plan; entries without a plan are on none."""
+    names = table(spark, sf_dir, "ingredient").select(F.col("id").alias("ingredient_id"), "canonical_name")
+    return basket.ordered_lines(basket.shopping_lines(_entries(spark, sf_dir).filter("plan_id is not null"), names, "plan_id"), "plan_id")
+
+
 def plan_recipes(spark, sf_dir):
     """Recipes of each plan with their current names."""
     now = browse.current(table(spark, sf_dir, "recipe"), "name")
@@ -121,7 +127,7 @@ def suggest_top(spark, sf_dir):
     return suggest.top_disjoint(_combos(spark, sf_dir)).select("rank", F.array_join("recipe_ids", ",").alias("recipes"), "score")
 
 
-QUERIES = [shared_ingredients, unit_totals, scaled_totals, shopping_list, plan_recipes, plan_marks, set_scores, idf_weights, basket_overlaps, variant_clusters, variant_sizes, variant_write_back, suggest_combos, suggest_top]
+QUERIES = [shared_ingredients, unit_totals, scaled_totals, shopping_list, shopping_lists, plan_recipes, plan_marks, set_scores, idf_weights, basket_overlaps, variant_clusters, variant_sizes, variant_write_back, suggest_combos, suggest_top]
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.operators import cards as C
@@ -49,10 +49,18 @@ def step_times(spark, sf_dir):
     return steps.select("step_id", C.card_minutes(F.col("text")).alias("minutes")).filter("minutes is not null")
 
 
+def page_matches(lines: DataFrame) -> DataFrame:
+    """(draft_id, page_no, pos, text, match): a page's next one is the next that the draft has; lines without a page number are left out."""
+    rows = lines.filter("page_no is not null")
+    pages = rows.select("draft_id", "page_no").distinct()
+    before = pages.withColumn("before", F.lag("page_no").over(Window.partitionBy("draft_id").orderBy("page_no"))).filter("before is not null")
+    following = rows.join(before.withColumnRenamed("draft_id", "d"), F.col("draft_id").eqNullSafe(F.col("d")) & (rows["page_no"] == before["page_no"])).select("draft_id", F.col("before").alias("page_no"), "text", "y")
+    return C.match_rows(rows, following, "draft_id", "page_no")
+
+
 def matched_rows(spark, sf_dir):
-    """Lines of each first page matched to those of its second page by height."""
-    rows = _lines(spark, sf_dir)
-    return C.match_rows(rows.filter("page_no = 1"), rows.filter("page_no = 2"), "draft_id")
+    """Lines of each page matched to those of the draft's next page by height; those of the last page match nothing."""
+    return page_matches(_lines(spark, sf_dir))
 
 
 def flowing_steps(spark, sf_dir):

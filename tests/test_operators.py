@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tamarack.operators import basket, browse, cards, ingest, similarity, state, suggest, units
+from tamarack.plans import baskets, scanned
 
 
 def test_units(spark):
@@ -116,6 +117,23 @@ def test_match_rows(spark):
     assert {(r.text, r.match) for r in cards.match_rows(a, b, "key").collect()} == {("x", "p"), ("y", "q"), ("z", None)}
 
 
+def test_match_rows_of_all_pages(spark):
+    rows = [("d", p, f"{p}{c}", y) for p in (1, 2, 4, 5) for c, y in (("a", 1.0), ("b", 9.0))] + [("e", 3, "3a", 1.0), (None, 1, "1n", 1.0), (None, 2, "2n", 1.0)]
+    lines = spark.createDataFrame(rows, "draft_id string, page_no int, text string, y double")
+    out = {(r.draft_id, r.page_no, r.text): r.match for r in scanned.page_matches(lines).collect()}
+    following = {1: 2, 2: 4, 4: 5}
+    want = {(d, p, t): None if d == "e" or p == 5 or (d is None and p == 2) else f"{following[p]}{t[1]}" for d, p, t, _ in rows}
+    assert out == want
+
+
+def test_shopping_lists_of_all_plans(spark, tmp_path):
+    e = [(1, "p1", "R1", "rice", 100.0, "g", ""), (2, "p1", "R2", "rice", 50.0, "g", ""), (3, "p2", "R1", "rice", 7.0, "g", ""), (4, "p2", "R1", "egg", None, None, ""), (5, None, "R1", "egg", 1.0, None, "")]
+    spark.createDataFrame(e, "entry_id long, plan_id string, recipe_id string, ingredient_id string, quantity double, unit string, raw_text string").write.parquet(str(tmp_path / "shopping_list_entry.parquet"))
+    spark.createDataFrame([("rice", "rice"), ("egg", "egg")], "id string, canonical_name string").write.parquet(str(tmp_path / "ingredient.parquet"))
+    assert [(r.plan_id, r.line) for r in baskets.shopping_lists(spark, str(tmp_path)).collect()] == [("p1", "Rice - 150 g"), ("p2", "Egg - x1"), ("p2", "Rice - 7 g")]
+    assert [r.line for r in baskets.shopping_list(spark, str(tmp_path)).collect()] == ["Rice - 150 g"]
+
+
 def test_spread_sample(spark):
     rows = spark.range(100).withColumnRenamed("id", "position")
     for k in (1, 2, 7, 100, 200):
