@@ -26,6 +26,7 @@ result; other columns are ignored. Very long texts are tokenised in whole.
 from __future__ import annotations
 
 import base64
+import logging
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -169,6 +170,12 @@ def fit_rates(grouped: DataFrame, target: np.ndarray, cap: np.ndarray, steps: in
         if np.abs(target - totals).max() <= tolerance * max(1.0, target.sum()):
             break
         steps_so_far.append(step)
+    else:  # the totals above are those before the last step
+        rated = grouped.withColumn("rate", rate_column(F.col("membership"), steps_so_far, cap))
+        row = rated.agg(*[F.sum(F.get("membership", F.lit(i)) * F.col("tokens") * F.col("rate")).alias(f"t{i}") for i in range(len(target))]).first()
+        totals = np.array([row[f"t{i}"] or 0.0 for i in range(len(target))])
+        if steps:
+            logging.getLogger(__name__).warning("mixture rates have not converged in %d steps", steps)
     return steps_so_far, totals
 
 
@@ -217,15 +224,36 @@ class Mixture:
             self.steps, totals = fit_rates(grouped, share * self.total, cap)
         self.spark, self.cap, self.totals = spark, cap, totals
 
+    def used_tokens(self) -> np.ndarray:
+        """Tokens that the copies of ``copies`` give each source, a document without a source counting by its membership."""
+        k = range(len(self.keys))
+        if self.rows is None:
+            return np.zeros(len(self.keys))
+        row = self._copied().agg(*[F.sum(F.get("membership", F.lit(i)) * F.col("tokens") * F.col("copies")).alias(f"u{i}") for i in k]).first()
+        return np.array([row[f"u{i}"] or 0.0 for i in k])
+
+    def shortfalls(self) -> list[bool]:
+        """Whether each source falls short of its share, decided on stated sources."""
+        return [bool(self.stated.get(key, (0, 0))[0] * r.max_repeats < r.target_share * self.total) for key, r in zip(self.keys, self.targets, strict=True)]
+
     def report(self) -> DataFrame:
-        """(source, target_share, max_repeats, documents, tokens, mixed_tokens, actual_share, falls_short)."""
-        mixed = float(self.totals.sum())
+        """(source, target_share, max_repeats, documents, tokens, mixed_tokens, expected_share, used_tokens, actual_share, falls_short).
+
+        ``mixed_tokens`` and ``expected_share`` are those of the fitted rates; ``used_tokens`` and
+        ``actual_share`` those of the copies that are really used.
+        """
+        mixed, used = float(self.totals.sum()), self.used_tokens()
+        total = float(used.sum())
         out = []
-        for k, r in enumerate(self.targets):
+        for k, (r, short) in enumerate(zip(self.targets, self.shortfalls(), strict=True)):
             tokens, n = self.stated.get(self.keys[k], (0, 0))
-            short = tokens * r.max_repeats < r.target_share * self.total
-            out.append((r.source, float(r.target_share), int(r.max_repeats), n, tokens, float(self.totals[k]), float(self.totals[k]) / mixed if mixed else 0.0, bool(short)))
-        return self.spark.createDataFrame(out, "source string, target_share double, max_repeats int, documents bigint, tokens bigint, mixed_tokens double, actual_share double, falls_short boolean")
+            out.append((r.source, float(r.target_share), int(r.max_repeats), n, tokens, float(self.totals[k]), float(self.totals[k]) / mixed if mixed else 0.0, float(used[k]), float(used[k]) / total if total else 0.0, short))
+        return self.spark.createDataFrame(out, "source string, target_share double, max_repeats int, documents bigint, tokens bigint, mixed_tokens double, expected_share double, used_tokens double, actual_share double, falls_short boolean")
+
+    def _copied(self) -> DataFrame:
+        rated = self.rows.select("doc_id", F.col("domain").alias("source"), "tokens", "membership", rate_column(F.col("membership"), self.steps, self.cap).alias("rate"))
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        return rated.withColumn("copies", (F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
     def copies(self) -> DataFrame:
         """(doc_id, source, tokens, rate, copies): how often each document is used.
@@ -235,6 +263,4 @@ class Mixture:
         """
         if self.rows is None:
             return self.spark.createDataFrame([], "doc_id bigint, source string, tokens bigint, rate double, copies int")
-        rated = self.rows.select("doc_id", F.col("domain").alias("source"), "tokens", rate_column(F.col("membership"), self.steps, self.cap).alias("rate"))
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        return rated.withColumn("copies", (F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+        return self._copied().select("doc_id", "source", "tokens", "rate", "copies")

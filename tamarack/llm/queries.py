@@ -101,11 +101,12 @@ def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that cannot reach their share."""
-    return _mixture(spark, sf_dir).report().filter("falls_short").select("source")
+    m = _mixture(spark, sf_dir)
+    return spark.createDataFrame([(t.source,) for t, short in zip(m.targets, m.shortfalls(), strict=True) if short], "source string")
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual share of each source in the mixture."""
+    """Target, expected and actual share of each source in the mixture."""
     return _mixture(spark, sf_dir).report()
 
 

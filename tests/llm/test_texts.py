@@ -106,6 +106,27 @@ def test_mixture(spark):
     assert empty.copies().count() == 0 and empty.report().count() == 4
 
 
+def test_shares_are_those_of_the_copies(spark):
+    # One document holds a third of a source's tokens: it is used once or not at all, never by half.
+    docs = [(i, "apple pear plum " * 20, "a") for i in range(20)] + [(99, "apple pear plum " * 200, "a")] + [(100 + i, "bolt nut gear " * 20, "b") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    m = mixing.Mixture(df, spark.createDataFrame([("a", 0.25, 1), ("b", 0.3, 1)], "source string, target_share double, max_repeats int"))
+    used = {"a": 0, "b": 0}
+    for r in m.copies().collect():
+        used[r.source] += r.tokens * r.copies
+    report = {r.source: r for r in m.report().collect()}
+    assert {s: r.used_tokens for s, r in report.items()} == used
+    assert all(r.actual_share == pytest.approx(used[s] / sum(used.values())) for s, r in report.items())
+    assert sum(r.expected_share for r in report.values()) == pytest.approx(1) and report["a"].mixed_tokens != report["a"].used_tokens
+
+
+def test_totals_are_those_of_the_last_step(spark):
+    grouped = spark.createDataFrame([([1.0, 0.0], 100), ([0.5, 0.5], 60), ([0.0, 1.0], 10)], "membership array<double>, tokens long")
+    steps, totals = mixing.fit_rates(grouped, np.array([50.0, 20.0]), np.array([1.0, 1.0]), steps=2)
+    rated = grouped.withColumn("rate", mixing.rate_column(F.col("membership"), steps, np.array([1.0, 1.0]))).collect()
+    assert len(steps) == 2 and totals == pytest.approx([sum(r.membership[k] * r.tokens * r.rate for r in rated) for k in (0, 1)])
+
+
 # ---- canonical values -------------------------------------------------------------------------
 
 
