@@ -40,6 +40,7 @@ from tamarack.session import by_key, materialize
 
 MOST = 1_000_000
 MOST_WORDS = 5_000_000
+LEAST_TITLE = 4  # letters; fewer are left of page numbers and their misreads
 STATES = ("header", "body", "break")
 # Marks that cut a word at a line end; marks that scanning adds.
 CUTS = "-\xad¬‐‑–"
@@ -312,18 +313,27 @@ def scan_lines(ocr: DataFrame | None, steps: DataFrame | None) -> DataFrame:
     return out
 
 
-def running_titles(lines: DataFrame) -> list[str]:
-    """Folded texts that stand at page edges in several drafts, and hardly anywhere else."""
+def running_titles(lines: DataFrame, names: set[str] = frozenset()) -> list[str]:
+    """Folded texts that stand at the edges of several pages, of one draft or more, and hardly anywhere else.
+
+    Pages are the evidence, so the own title of a single draft counts too; only one made of ``names``
+    (folded) is left to ``features``, as it is also the title of the card where it stands first.
+    """
     # Short keys, as of page numbers, are left out only after the edges are found.
     every_line = lines.filter("kind = 'ocr_line' and text is not null").withColumn("key", _fold_column(_title_part(F.col("text"))))
-    ocr = every_line.filter(F.length("key") >= 6)
+    ocr = every_line.filter(F.length("key") >= LEAST_TITLE)
     edge = every_line.groupBy("draft", "page").agg(F.min_by("key", "line").alias("a"), F.max_by("key", "line").alias("b"))
-    edge = edge.select("draft", F.explode(F.array_distinct(F.array("a", "b"))).alias("key")).filter(F.length("key") >= 6).groupBy("key").agg(F.count("*").alias("n_edge"), F.count_distinct("draft").alias("drafts")).filter("drafts >= 2")
+    edge = edge.select("draft", F.explode(F.array_distinct(F.array("a", "b"))).alias("key")).filter(F.length("key") >= LEAST_TITLE).groupBy("key").agg(F.count("*").alias("n_edge"), F.count_distinct("draft").alias("drafts")).filter("n_edge >= 3")
     every = ocr.join(edge.select("key"), "key", "left_semi").groupBy("key").agg(F.count_distinct("draft", "page").alias("n"))
-    found = edge.join(every, "key").filter("n_edge >= 0.8 * n and n_edge >= 3").select("key").limit(MOST + 1).collect()
+    found = edge.join(every, "key").filter("n_edge >= 0.8 * n").select("key", "drafts").limit(MOST + 1).collect()
     if len(found) > MOST:
         raise ValueError("too many running titles to broadcast")
-    return [r["key"] for r in found]
+
+    def of_names(key: str) -> bool:
+        left, _, right = key.partition("with")
+        return bool(right) and (right in names or any(left[i:] in names for i in range(len(left))))
+
+    return [r["key"] for r in found if r["drafts"] > 1 or not of_names(r["key"])]
 
 
 def lexicon_words(clean: list[Column | DataFrame], lines: DataFrame, titles: list[str], most: int = MOST_WORDS) -> set[str]:
@@ -481,12 +491,13 @@ def repair(ocr: DataFrame | None, steps: DataFrame | None, clean: list[DataFrame
     """
     sc = (ocr if ocr is not None else steps).sparkSession.sparkContext
     lines = materialize(scan_lines(ocr, steps))
-    titles = running_titles(lines)
     name_rows = names.select(F.col(names.columns[0]).alias("n")).filter("n is not null").distinct().limit(MOST + 1).collect()
     if len(name_rows) > MOST:
         raise ValueError("too many names to broadcast")
+    folded = {fold(r["n"]) for r in name_rows}
+    titles = running_titles(lines, folded)
     words = lexicon_words([*clean, names], lines, titles)
-    shared = sc.broadcast((titles, {fold(r["n"]) for r in name_rows}, words))
+    shared = sc.broadcast((titles, folded, words))
     block = (F.coalesce("page", F.lit(0)) / 32).cast("bigint") * 1_000_000 + (F.coalesce("line", F.lit(0)) / 1024).cast("bigint")
     context = F.when((F.col("kind") == "ocr_line") & (F.col("page") % 32 == 0) & (F.col("line") < 1024) & (F.col("page") > 0), F.array(F.col("b"), F.col("b") - 1_000_000)).otherwise(F.array("b"))
     blocks = lines.withColumn("b", block).withColumn("block", F.explode(context)).withColumn("context", F.col("block") != F.col("b")).drop("b")

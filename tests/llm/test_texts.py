@@ -222,6 +222,17 @@ def test_scanned_lines(spark):
     assert nothing.count() == 0
 
 
+def test_running_titles_of_one_draft(spark):
+    def rows(draft, title, first_id):
+        return [(first_id + 10 * p + n, draft, p, n, t) for p in range(1, 5) for n, t in enumerate([title, "Knead the dough on a floured surface until", "smooth and elastic.", str(p)])]
+
+    ocr = spark.createDataFrame(rows("a", "The long winter kitchen", 0) + rows("b", "Soups", 100) + rows("c", "Island radish with olive oil", 200), "line_id long, draft_id string, page_no int, line_no int, text string")
+    out = scans.repair(ocr, None, [spark.createDataFrame([(TEXT,)], "t string")], spark.createDataFrame([("island radish",), ("olive oil",)], "n string")).collect()
+    furniture = {r.record_id for r in out if r.furniture}
+    # The card's own title is furniture only where it is repeated.
+    assert furniture == {s + 10 * p + n for s in (0, 100, 200) for p in range(1, 5) for n in (0, 3)} - {210}
+
+
 def test_cells(spark):
     rows = [(i, t) for i, t in enumerate(["250 g", "250g", "2S0 g", "e 150 ml", "1½ small pot", "", None, "|tbsp", "½ unit(s)", "4OO grams", "2 unit(5)"])] + [(100 + i, "2 small pot") for i in range(5)]
     df = spark.createDataFrame(rows + rows[:2], "cell_id long, raw_text string").withColumn("unit", F.lit("clash"))
