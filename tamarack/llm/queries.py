@@ -35,6 +35,13 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets.linked_records(table(spark, sf_dir, "recipe_ingredient_set")).select(F.col("record").alias("recipe_id"), "copies", "links")
 
 
+def p2_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes that a plan's shopping entries of one recipe are nearly the same as: a join between two tables."""
+    entries = table(spark, sf_dir, "shopping_list_entry").select(F.concat_ws(" ", "plan_id", "recipe_id").alias("basket"), F.array("ingredient_id").alias("ids"))
+    pairs = similar_sets.similar_between(table(spark, sf_dir, "recipe_ingredient_set"), entries, ("recipe_id", "ingredient_ids"), ("basket", "ids"))
+    return pairs.select(F.col("record_a").alias("recipe_id"), F.col("record_b").alias("basket"), "common", "total")
+
+
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     recipe = table(spark, sf_dir, "recipe")
     step = recipe.select(F.explode("steps").alias("step"))
@@ -126,4 +133,4 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_excess, p2_found, p2_links, p3_found, p3_paragraphs, p3_cells, p5_found, p5_report, p6_found, p6_items, p7_found, p7_report, p7_copies, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p1_found, p1_excess, p2_found, p2_links, p2_planned, p3_found, p3_paragraphs, p3_cells, p5_found, p5_report, p6_found, p6_items, p7_found, p7_report, p7_copies, p8_found, p8_clean)}

@@ -1,4 +1,4 @@
-"""All similar pairs between set-valued records (problem 2).
+"""All similar pairs between set-valued records, of one table or between two (problem 2).
 
 Method: multi-index binary sketches. Every distinct set gets a code of one-bit minhashes:
 two sets of Jaccard similarity s agree in a bit with probability (1 + s) / 2. Part of the bits
@@ -9,12 +9,14 @@ sets of those are then compared exactly.
 Segment width, number of segments and radius are calibrated, not guessed. The width is the
 logarithm of the number of distinct sets, so unrelated sets seldom meet. The number of
 segments is the least for which a pair at the threshold fails to meet in any of them with
-probability below ``miss``; the radius is a bound of the binomial quantile that a pair at the
+probability below ``miss``, so wide segments need more of them; the radius is a bound of the binomial quantile that a pair at the
 threshold exceeds with probability below ``miss``. Pairs above the threshold are missed less
 often, and every pair returned is exact.
 
 Equal sets are one class before the join, so a group of copies of any size is one record
-there. Buckets have no cap: the join sorts and spills, and AQE splits skewed partitions.
+there. Buckets have no cap: the joins are merge joins by hint, as the planner's estimate does not
+count the rows that segments make and would broadcast them; they sort and spill, and AQE splits
+skewed partitions.
 
 Defined results: a null id and null items are ignored; repeated items count once; rows of one
 id are taken together; sets with fewer than ``least`` items have no partner; an empty table
@@ -86,60 +88,82 @@ def sketch(sets: DataFrame, width: int, segments: int) -> DataFrame:
     return sets.withColumn("packed", F.pandas_udf(run, "array<bigint>")("items"))
 
 
-def set_classes(df: DataFrame, record_col: str, items_col: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """(members: record, class_id) and (classes: class_id, items): equal sets are one class.
-
-    Items are 64-bit hashes and a class is the 128-bit digest of its sorted items.
-    """
+def set_lists(df: DataFrame, record_col: str, items_col: str, least: int) -> DataFrame:
+    """(record, items, class_id): the set of each record as sorted 64-bit hashes, and the 128-bit digest of those."""
     pairs = record_items(spread(df), record_col, items_col).select("record", F.xxhash64("item").alias("item"))
     lists = pairs.groupBy("record").agg(F.array_sort(F.collect_list("item")).alias("items")).filter(F.size("items") >= least)
-    lists = materialize(lists.withColumn("class_id", F.md5(F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).cast("binary"))))
-    return lists.select("record", "class_id"), lists.groupBy("class_id").agg(F.min("items").alias("items"))
+    return materialize(lists.withColumn("class_id", F.md5(F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).cast("binary"))))
+
+
+def set_classes(*lists: DataFrame) -> DataFrame:
+    """(class_id, items, sides): equal sets are one class; bit i of ``sides`` tells whether table i has it. One table is both sides."""
+    rows = [x.select("class_id", "items", F.lit(1 << i if len(lists) > 1 else 3).alias("side")) for i, x in enumerate(lists)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.groupBy("class_id").agg(F.min("items").alias("items"), F.bit_or("side").alias("sides"))
 
 
 def similar_classes(classes: DataFrame, threshold: tuple[int, int], least: int, miss: float = 1e-5) -> DataFrame:
-    """(class_a, class_b, common, total), class_a < class_b: similar pairs of different sets."""
+    """(class_a, class_b, common, total), class_a < class_b: similar pairs of different sets, one from each side."""
     p, q = threshold
     # Checkpointed, so the running numbers stay what they are if an executor is lost.
     classes = materialize(by_key(classes, "class_id").withColumn("k", F.monotonically_increasing_id()))
     width, segments, radius = calibrate(classes.count(), p / q, miss)
-    coded = materialize(sketch(classes, width, segments).select("k", F.size("items").alias("size"), "packed"))
+    coded = sketch(classes, width, segments).select("k", F.size("items").alias("size"), "sides", "packed")
     # Number, size and code travel through the join; sets follow for the survivors only.
     code = [F.get("packed", F.lit(i)).alias(f"code{i}") for i in (0, 1)]
-    posted = coded.select("k", "size", *code, F.posexplode(F.slice("packed", 3, segments)).alias("segment", "value"))
-    posted = posted.select("k", "size", "code0", "code1", (F.shiftleft(F.col("segment").cast("bigint"), 32) + F.col("value")).alias("bucket"))
-    a = posted.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("k", "size", "code0", "code1")])
-    b = posted.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("k", "size", "code0", "code1")])
+    posted = coded.select("k", "size", "sides", *code, F.posexplode(F.slice("packed", 3, segments)).alias("segment", "value"))
+    bucket = (F.shiftleft(F.col("segment").cast("bigint"), 32) + F.col("value")).alias("bucket")
+    # Shuffled by bucket once; both sides of the join read the same shuffle.
+    posted = posted.select(bucket, "k", "size", "sides", "code0", "code1")
+    a, b = (posted.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in posted.columns[1:]]) for x in "ab")
     sizes = (F.col("size_a") * q >= F.col("size_b") * p) & (F.col("size_b") * q >= F.col("size_a") * p)
+    across = F.col("sides_a").bitwiseOR(F.col("sides_b")) == 3
     distance = sum((F.bit_count(F.col(f"code{i}_a").bitwiseXOR(F.col(f"code{i}_b"))) for i in (0, 1)), F.lit(0))
-    met = a.join(b, "bucket").filter((F.col("k_a") < F.col("k_b")) & sizes & (distance <= radius)).select("k_a", "k_b").distinct()
-    full = {x: classes.select(F.col("k").alias(f"k_{x}"), F.col("class_id").alias(f"class_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab"}
+    met = a.hint("merge").join(b.hint("merge"), "bucket").filter((F.col("k_a") < F.col("k_b")) & sizes & across & (distance <= radius)).select("k_a", "k_b").distinct()
+    full = {x: classes.select(F.col("k").alias(f"k_{x}"), F.col("class_id").alias(f"class_{x}"), F.col("items").alias(f"items_{x}")).hint("merge") for x in "ab"}
     met = met.join(full["a"], "k_a").join(full["b"], "k_b").withColumn("common", F.size(F.array_intersect("items_a", "items_b")))
     met = met.withColumn("total", F.size("items_a") + F.size("items_b") - F.col("common"))
     met = met.filter((F.col("common") >= least) & (F.col("common") * q >= F.col("total") * p))
     return met.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "common", "total")
 
 
+def _expanded(classes: DataFrame, found: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, common, total): records of ``left`` and ``right`` whose classes are similar or the same."""
+    size = F.size("items")
+    same = classes.filter("sides = 3").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"), size.alias("common"), size.alias("total"))
+    turned = found.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), "common", "total")
+    a = left.select(F.col("record").alias("a"), F.col("class_id").alias("class_a")).hint("merge")
+    b = right.select(F.col("record").alias("b"), F.col("class_id").alias("class_b")).hint("merge")
+    return found.unionByName(turned).unionByName(same).join(a, "class_a").join(b, "class_b").select("a", "b", "common", "total")
+
+
 def similar_pairs(df: DataFrame, record_col: str = "recipe_id", items_col: str = "ingredient_ids", threshold: tuple[int, int] = (7, 10), least: int = 6, miss: float = 1e-5) -> DataFrame:
     """(record_a, record_b, common, total), record_a < record_b: every similar pair, copies included."""
-    members, classes = set_classes(df, record_col, items_col, least)
-    found = similar_classes(classes, threshold, least, miss)
-    a = members.select(F.col("record").alias("a"), F.col("class_id").alias("class_a"))
-    b = members.select(F.col("record").alias("b"), F.col("class_id").alias("class_b"))
-    across = found.join(a, "class_a").join(b, "class_b").select("a", "b", "common", "total")
-    size = F.size("items")
-    copies = classes.select(F.col("class_id").alias("class_a"), size.alias("common"), size.alias("total"))
-    within = a.join(b.withColumnRenamed("class_b", "class_a"), "class_a").filter("a < b").join(copies, "class_a").select("a", "b", "common", "total")
-    both = across.unionByName(within)
-    return both.select(F.least("a", "b").alias("record_a"), F.greatest("a", "b").alias("record_b"), "common", "total")
+    lists = set_lists(df, record_col, items_col, least)
+    classes = set_classes(lists)
+    found = materialize(similar_classes(classes, threshold, least, miss))
+    return _expanded(classes, found, lists, lists).filter("a < b").select(F.col("a").alias("record_a"), F.col("b").alias("record_b"), "common", "total")
+
+
+def similar_between(left: DataFrame, right: DataFrame, left_cols: tuple[str, str], right_cols: tuple[str, str], threshold: tuple[int, int] = (7, 10), least: int = 6, miss: float = 1e-5) -> DataFrame:
+    """(record_a, record_b, common, total): every record of ``left`` with every similar one of ``right``; equal ids of both tables are different records.
+
+    ``left_cols`` and ``right_cols`` name the columns of id and items.
+    """
+    lists = set_lists(left, *left_cols, least), set_lists(right, *right_cols, least)
+    classes = set_classes(*lists)
+    found = materialize(similar_classes(classes, threshold, least, miss))
+    return _expanded(classes, found, *lists).select(F.col("a").alias("record_a"), F.col("b").alias("record_b"), "common", "total")
 
 
 def linked_records(df: DataFrame, record_col: str = "recipe_id", items_col: str = "ingredient_ids", threshold: tuple[int, int] = (7, 10), least: int = 6, miss: float = 1e-5) -> DataFrame:
     """(record, class_id, copies, links): one row for each record that has a partner; links counts records of other sets."""
-    members, classes = set_classes(df, record_col, items_col, least)
-    size = members.groupBy("class_id").agg(F.count("*").alias("copies"))
-    found = similar_classes(classes, threshold, least, miss)
+    lists = set_lists(df, record_col, items_col, least)
+    size = lists.groupBy("class_id").agg(F.count("*").alias("copies"))
+    found = materialize(similar_classes(set_classes(lists), threshold, least, miss))
     both = found.select(F.col("class_a").alias("class_id"), F.col("class_b").alias("other")).unionByName(found.select(F.col("class_b").alias("class_id"), F.col("class_a").alias("other")))
-    links = both.join(size.withColumnRenamed("class_id", "other"), "other").groupBy("class_id").agg(F.sum("copies").alias("links"))
-    out = members.join(size, "class_id").join(links, "class_id", "left").select("record", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    links = both.hint("merge").join(size.withColumnRenamed("class_id", "other"), "other").groupBy("class_id").agg(F.sum("copies").alias("links"))
+    out = lists.select("record", "class_id").hint("merge").join(size, "class_id").join(links, "class_id", "left").select("record", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
     return out.filter("copies > 1 or links > 0")

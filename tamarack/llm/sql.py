@@ -33,6 +33,14 @@ SELECT item_a, item_b, n_ab, n_a, n_b, round(x, 6) AS expected, round(n_ab / x,
         "p2_found": f"""WITH {_ITEMS}, c AS (SELECT r, count(*) AS k FROM i GROUP BY r),
 p AS (SELECT a.r AS ra, b.r AS rb, count(*) AS n FROM i a JOIN i b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2 HAVING count(*) >= 6)
 SELECT ra AS recipe_id_a, rb AS recipe_id_b FROM p JOIN c ca ON ca.r = ra JOIN c cb ON cb.r = rb WHERE 10 * n >= 7 * (ca.k + cb.k - n)""",
+        "p2_links": f"""WITH {_ITEMS}, c AS (SELECT r, count(*) AS k, string_agg(x, ',' ORDER BY x) AS s FROM i GROUP BY r HAVING count(*) >= 6),
+p AS (SELECT a.r AS ra, b.r AS rb, count(*) AS n FROM i a JOIN i b ON a.x = b.x AND a.r <> b.r GROUP BY 1, 2 HAVING count(*) >= 6),
+l AS (SELECT ra, count(*) AS links FROM p JOIN c ca ON ca.r = ra JOIN c cb ON cb.r = rb WHERE 10 * n >= 7 * (ca.k + cb.k - n) AND ca.s <> cb.s GROUP BY 1)
+SELECT * FROM (SELECT r AS recipe_id, count(*) OVER (PARTITION BY s) AS copies, coalesce(links, 0) AS links FROM c LEFT JOIN l ON l.ra = r) WHERE copies > 1 OR links > 0""",
+        "p2_planned": f"""WITH {_ITEMS}, j AS (SELECT DISTINCT plan_id || ' ' || recipe_id AS r, ingredient_id AS x FROM shopping_list_entry),
+c AS (SELECT r, count(*) AS k FROM i GROUP BY r), d AS (SELECT r, count(*) AS k FROM j GROUP BY r),
+p AS (SELECT i.r AS ra, j.r AS rb, count(*) AS n FROM i JOIN j ON i.x = j.x GROUP BY 1, 2 HAVING count(*) >= 6)
+SELECT ra AS recipe_id, rb AS basket, n::INTEGER AS common, (c.k + d.k - n)::INTEGER AS total FROM p JOIN c ON c.r = ra JOIN d ON d.r = rb WHERE 10 * n >= 7 * (c.k + d.k - n)""",
         # Shortfalls do not depend on the tokenizer, so characters stand for tokens.
         "p7_found": r"""WITH d AS (SELECT DISTINCT doc_id, replace(lower(trim(source)), '-', '_') AS s, coalesce(length(text), 0) AS n FROM documents WHERE trim(coalesce(source, '')) <> ''),
 t AS (SELECT sum(n) AS n FROM d), k AS (SELECT s, sum(n) AS n FROM d GROUP BY s)
