@@ -27,9 +27,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,51 +42,68 @@ CODE = 128
 
 
 def calibrate(sets: int, threshold: float, miss: float) -> tuple[int, int, int]:
-    """(segment width, segments, Hamming radius of the code) for this many distinct sets."""
+    """(segment width, segments, Hamming radius of the code) for this many distinct sets.
+
+    A bucket of unrelated sets holds about eight: a narrower segment needs fewer segments, and to
+    compare two codes costs far less than to shuffle one more row.
+    """
     same = (1 + threshold) / 2
-    width = min(30, max(8, math.ceil(math.log2(max(sets, 2)))))
+    width = max(8, math.ceil(math.log2(max(sets, 2))) - 3)
     segments = math.ceil(math.log(miss) / math.log1p(-(same**width)))
     z = math.sqrt(-2 * math.log(miss))  # a bound of the normal quantile
     return width, segments, math.ceil(CODE * (1 - same) + z * math.sqrt(CODE * same * (1 - same)))
 
 
-def _hash_items(items: pd.Series) -> np.ndarray:
-    h = items.to_numpy(dtype=np.int64).view(np.uint64)
+def _hashes(items: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
+    """One 32-bit hash of each item for each bit."""
+    h = items.view(np.uint64)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return (h ^ (h >> np.uint64(29))).astype(np.uint32)
+    v = (h ^ (h >> np.uint64(29))).astype(np.uint32)[:, None] ^ xor
+    v *= mul
+    v ^= v >> np.uint32(15)
+    return v
 
 
 def sketch(sets: DataFrame, width: int, segments: int) -> DataFrame:
-    """Adds to a column ``items`` of array<bigint>: ``packed``, the code as two numbers and then the segments."""
+    """``items`` of array<bigint> replaced by ``code0``, ``code1`` and ``segments``, array<bigint>. Other columns stay."""
     bits = CODE + width * segments
     rng = np.random.default_rng(SEED)
     xor = rng.integers(0, 1 << 32, bits, dtype=np.uint32)
     mul = rng.integers(0, 1 << 31, bits, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     weights = (1 << np.arange(width)).astype(np.int64)
     half = 1 << np.arange(64, dtype=np.uint64)
-
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lists in parts:
-            out = []
-            block: list[np.ndarray] = []
-            for k, items in enumerate(lists):
-                least = None
-                for i in range(0, len(items), 512):  # very long lists in pieces
-                    h = _hash_items(pd.Series(items[i : i + 512]))
-                    v = (h[:, None] ^ xor) * mul
-                    v ^= v >> np.uint32(15)
-                    low = v.min(axis=0)
-                    least = low if least is None else np.minimum(least, low)
-                block.append((least >> np.uint32(5)) & np.uint32(1))
-                if len(block) == 256 or k + 1 == len(lists):
-                    all_bits = np.stack(block)
-                    code = (all_bits[:, :CODE].astype(np.uint64).reshape(len(block), 2, 64) * half).sum(axis=2).view(np.int64)
-                    parts_of = all_bits[:, CODE:].reshape(len(block), segments, width) @ weights
-                    out += list(np.concatenate([code, parts_of], axis=1))
-                    block = []
-            yield pd.Series(out, dtype=object)
-
-    return sets.withColumn("packed", F.pandas_udf(run, "array<bigint>")("items"))
+    at_once = max(64, (1 << 23) // bits)  # items hashed at once, 32 MB
+
+    def least(items: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        # Popular items stand in many sets, so each distinct one is hashed once.
+        distinct, place = np.unique(items, return_inverse=True)
+        return np.minimum.reduceat(_hashes(distinct, xor, mul)[place], starts, axis=0)
+
+    def signs(values: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """The bits of each set; sets are taken together up to ``at_once`` items, longer ones in pieces."""
+        i, n = 0, len(offsets) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + at_once, side="right")) - 1)
+            pieces = [values[at : min(at + at_once, offsets[j])] for at in range(offsets[i], offsets[j], at_once)] if j == i + 1 else [values[offsets[i] : offsets[j]]]
+            low = reduce(np.minimum, (least(piece, offsets[i:j] - offsets[i]) for piece in pieces))
+            yield (low >> np.uint32(5)) & np.uint32(1)
+            i = j
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not part.num_rows:
+                continue
+            lists = part.column("items")
+            all_bits = np.concatenate(list(signs(lists.values.to_numpy(), lists.offsets.to_numpy())))
+            code = (all_bits[:, :CODE].astype(np.uint64).reshape(-1, 2, 64) * half).sum(axis=2).view(np.int64)
+            own = all_bits[:, CODE:].reshape(-1, segments, width) @ weights
+            ends = pa.array(np.arange(0, own.size + 1, segments), pa.int32())
+            out = {c: part.column(c) for c in kept} | {"code0": pa.array(code[:, 0]), "code1": pa.array(code[:, 1]), "segments": pa.ListArray.from_arrays(ends, pa.array(own.ravel()))}
+            yield pa.RecordBatch.from_pydict(out)
+
+    kept = [c for c in sets.columns if c != "items"]
+    # Empty sets have no least hash.
+    return sets.filter(F.size("items") > 0).mapInArrow(run, ", ".join(f"{c} {sets.schema[c].dataType.simpleString()}" for c in kept) + ", code0 bigint, code1 bigint, segments array<bigint>")
 
 
 def set_lists(df: DataFrame, record_col: str, items_col: str, least: int) -> DataFrame:
@@ -110,16 +128,16 @@ def similar_classes(classes: DataFrame, threshold: tuple[int, int], least: int,
     # Checkpointed, so the running numbers stay what they are if an executor is lost.
     classes = materialize(by_key(classes, "class_id").withColumn("k", F.monotonically_increasing_id()))
     width, segments, radius = calibrate(classes.count(), p / q, miss)
-    coded = sketch(classes, width, segments).select("k", F.size("items").alias("size"), "sides", "packed")
-    # Number, size and code travel through the join; sets follow for the survivors only.
-    code = [F.get("packed", F.lit(i)).alias(f"code{i}") for i in (0, 1)]
-    posted = coded.select("k", "size", "sides", *code, F.posexplode(F.slice("packed", 3, segments)).alias("segment", "value"))
-    bucket = (F.shiftleft(F.col("segment").cast("bigint"), 32) + F.col("value")).alias("bucket")
+    # Number, size with sides, and code travel through the join; sets follow for the survivors only.
+    coded = sketch(classes.select("k", (F.size("items").cast("bigint") * 4 + F.col("sides")).alias("size"), "items"), width, segments)
+    posted = coded.select("k", "size", "code0", "code1", F.posexplode("segments").alias("segment", "value"))
+    bucket = (F.shiftleft(F.col("segment").cast("bigint"), 40) + F.col("value")).alias("bucket")
     # Shuffled by bucket once; both sides of the join read the same shuffle.
-    posted = posted.select(bucket, "k", "size", "sides", "code0", "code1")
+    posted = posted.select(bucket, "k", "size", "code0", "code1")
     a, b = (posted.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in posted.columns[1:]]) for x in "ab")
-    sizes = (F.col("size_a") * q >= F.col("size_b") * p) & (F.col("size_b") * q >= F.col("size_a") * p)
-    across = F.col("sides_a").bitwiseOR(F.col("sides_b")) == 3
+    size_a, size_b = F.shiftright("size_a", 2), F.shiftright("size_b", 2)
+    sizes = (size_a * q >= size_b * p) & (size_b * q >= size_a * p)
+    across = F.col("size_a").bitwiseOR(F.col("size_b")).bitwiseAND(F.lit(3)) == 3
     distance = sum((F.bit_count(F.col(f"code{i}_a").bitwiseXOR(F.col(f"code{i}_b"))) for i in (0, 1)), F.lit(0))
     met = a.hint("merge").join(b.hint("merge"), "bucket").filter((F.col("k_a") < F.col("k_b")) & sizes & across & (distance <= radius)).select("k_a", "k_b").distinct()
     full = {x: classes.select(F.col("k").alias(f"k_{x}"), F.col("class_id").alias(f"class_{x}"), F.col("items").alias(f"items_{x}")).hint("merge") for x in "ab"}

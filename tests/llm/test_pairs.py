@@ -104,3 +104,27 @@ def test_calibration_grows_with_the_data():
     w1, s1, r1 = similar_sets.calibrate(1000, 0.7, 1e-5)
     w2, s2, r2 = similar_sets.calibrate(10**9, 0.7, 1e-5)
     assert w1 < w2 and s1 < s2 and r1 == r2 and (1 - 0.85**w2) ** s2 <= 1e-5
+
+
+def test_between_two_tables_like_brute_force(spark):
+    left, right = baskets(120, 3), baskets(160, 3)
+    one, two = ({r: s for r, s in sets_of(rows).items() if len(s) >= 5} for rows in (left, right))
+    want = {(a, b) for a, x in one.items() for b, y in two.items() if len(x & y) >= 5 and 10 * len(x & y) >= 7 * len(x | y)}
+    other = spark.createDataFrame(right, "id string, tags array<string>")
+    out = similar_sets.similar_between(frame(spark, left), other, ("recipe_id", "ingredient_ids"), ("id", "tags"), least=5)
+    found = [(r.record_a, r.record_b) for r in out.collect()]
+    assert len(found) == len(set(found)) and set(found) == want and any(a == b for a, b in want)
+    assert similar_sets.similar_between(frame(spark, left), other.limit(0), ("recipe_id", "ingredient_ids"), ("id", "tags"), least=5).count() == 0
+
+
+def test_no_segment_is_broadcast(spark):
+    classes = similar_sets.set_classes(similar_sets.set_lists(frame(spark, baskets()), "recipe_id", "ingredient_ids", 5))
+    plan = similar_sets.similar_classes(classes, (7, 10), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_sketch_of_a_long_set_in_pieces(spark):
+    long = spark.sql("select 1 as k, transform(sequence(1, 200000), x -> xxhash64(x)) as items union all select 2, transform(sequence(1, 200001), x -> xxhash64(x)) union all select 3, array(1L)")
+    rows = {r.k: r for r in similar_sets.sketch(long, 8, 20).collect()}
+    same = sum(x == y for x, y in zip(rows[1].segments, rows[2].segments, strict=True))
+    assert len(rows[1].segments) == 20 and same >= 19 and rows[1].code0 == rows[2].code0
