@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tamarack.llm.lookalike import CYRILLIC, CYRILLIC_TWIN, GREEK, GREEK_TWIN
+from tamarack.llm.lookalike import TWINS
 
 _ITEMS = "i AS (SELECT DISTINCT recipe_id AS r, unnest(ingredient_ids) AS x FROM recipe_ingredient_set)"
 _PAIRS = f"""WITH {_ITEMS}, n AS (SELECT count(DISTINCT recipe_id) AS n FROM recipe_ingredient_set),
@@ -21,7 +21,7 @@ def _look(text: str) -> str:
     out = f"regexp_replace({text}, '{_GONE}', '', 'g')"
     for a, b in _LIGATURES.items():
         out = f"replace({out}, '{a}', '{b}')"
-    return f"nfc_normalize(translate({out}, '{_SPACES + _FULL + CYRILLIC + GREEK}', '{' ' * len(_SPACES) + _HALF + CYRILLIC_TWIN + GREEK_TWIN}'))"
+    return f"nfc_normalize(translate({out}, '{_SPACES + _FULL + ''.join(TWINS)}', '{' ' * len(_SPACES) + _HALF + ''.join(TWINS.values())}'))"
 
 
 def oracle_sql() -> dict[str, str]:

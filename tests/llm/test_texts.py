@@ -263,3 +263,27 @@ def test_lexicon_keeps_rare_words(spark):
 def test_undone_confusions():
     lexicon = scans.Lexicon({"butter", "line", "plum", "non-stick", "stick", "non", "heat", "beat"})
     assert [lexicon.original(w) for w in ("but†er", "lme", "pliim", "butter", "non-5tick", "heat", "zzzzz")] == ["butter", "line", "plum", None, "non-stick", None, None]
+
+
+def test_look_of_every_canonical_decomposition():
+    """Composed and decomposed forms of every character agree, alone and behind a letter."""
+    import unicodedata
+
+    for cp in (*range(0x80, 0xD800), *range(0xF900, 0x30000)):
+        ch = chr(cp)
+        for form in ("NFD", "NFC"):
+            other = unicodedata.normalize(form, ch)
+            if other != ch:
+                assert lookalike.look(ch) == lookalike.look(other) and lookalike.look("a" + ch) == lookalike.look("a" + other), hex(cp)
+
+
+def test_letters_of_more_alphabets():
+    assert lookalike.look("ᏢᎪᏟᎬ ꓡꓮꓠꓓ օհ") == "PACE LAND oh"
+    assert lookalike.readable(lookalike.look("ᎣᏍᎪ ᎠᏯ")) == "ᎣᏍᎪ ᎠᏯ"
+
+
+def test_one_form_of_repeated_ids(spark):
+    rows = [(1, "ab"), (1, "aa"), (2, "ａ"), (3, None), (3, "x"), (4, None), (4, None), (None, "y"), *[(k, f"é{k}") for k in range(5, 60)]]
+    out = lookalike.one_form(spark.createDataFrame(rows, "d long, t string").withColumn("_word", F.lit(1)), "d", "t")
+    found = {r.doc_id: r.clean_text for r in out.collect()}
+    assert out.count() == len(found) == 59 and found[1] == "aa" and found[2] == "a" and found[3] == "x" and found[4] is None and found[7] == "é7"
