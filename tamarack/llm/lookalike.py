@@ -143,7 +143,9 @@ def readable(form: str) -> str:
 
     def turned(m: re.Match) -> str:
         k = _script(m[0])
-        return m[0].translate(_TURN[usual if k < 0 else k]) if k != LATIN else m[0]
+        if k < 0:  # a word that the usual alphabet cannot write as a whole stays Latin
+            k = usual if usual != LATIN and set(m[0]) <= _BACK[usual].keys() else LATIN
+        return m[0].translate(_TURN[k])
 
     return _WORD.sub(turned, form)
 
