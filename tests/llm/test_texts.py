@@ -94,7 +94,9 @@ def test_mixture(spark):
     m = mixing.Mixture(df, targets)
     report = {r.source: r for r in m.report().collect()}
     assert {s for s, r in report.items() if r.falls_short} == {"c", "d"}
-    assert report["a"].mixed_tokens == pytest.approx(0.2 * m.total, rel=0.01) and report["b"].mixed_tokens == pytest.approx(0.4 * m.total, rel=0.01)
+    # What c and d lack goes to a and b, two to four, and the mixture keeps its size.
+    assert report["b"].mixed_tokens == pytest.approx(2 * report["a"].mixed_tokens, rel=0.01) and sum(r.mixed_tokens for r in report.values()) == pytest.approx(m.total, rel=0.01)
+    assert all(r.expected_share == pytest.approx(r.attainable_share, rel=0.01) and r.converged for r in report.values())
     copies = {r.doc_id: r for r in m.copies().collect()}
     assert len(copies) == 303 and max(r.copies for r in copies.values()) <= 2 and copies[402].copies == 0
     # Held-out accuracy: the documents without a source were made from the topics.
@@ -122,9 +124,28 @@ def test_shares_are_those_of_the_copies(spark):
 
 def test_totals_are_those_of_the_last_step(spark):
     grouped = spark.createDataFrame([([1.0, 0.0], 100), ([0.5, 0.5], 60), ([0.0, 1.0], 10)], "membership array<double>, tokens long")
-    steps, totals = mixing.fit_rates(grouped, np.array([50.0, 20.0]), np.array([1.0, 1.0]), steps=2)
+    steps, totals, converged = mixing.fit_rates(grouped, np.array([50.0, 20.0]), np.array([1.0, 1.0]), steps=2)
     rated = grouped.withColumn("rate", mixing.rate_column(F.col("membership"), steps, np.array([1.0, 1.0]))).collect()
-    assert len(steps) == 2 and totals == pytest.approx([sum(r.membership[k] * r.tokens * r.rate for r in rated) for k in (0, 1)])
+    assert len(steps) == 2 and not converged and totals == pytest.approx([sum(r.membership[k] * r.tokens * r.rate for r in rated) for k in (0, 1)])
+
+
+def test_even_posteriors_of_many_sources_keep_their_sum():
+    for n in (3, 130, 3000):
+        p = mixing.rounded(np.full(n, 1 / n))
+        assert p.sum() == 1 and (p >= 0).all() and np.abs(np.cumsum(p) - np.arange(1, n + 1) / n).max() <= 0.5 / mixing.LEVELS
+
+
+def test_what_a_source_lacks_goes_to_the_others():
+    out = mixing.attainable(np.array([50.0, 30.0, 15.0, 5.0]), np.array([200.0, 31.0, 5.0, 0.0]))
+    assert out == pytest.approx([64.0, 31.0, 5.0, 0.0])
+    assert mixing.attainable(np.array([50.0, 50.0]), np.array([10.0, 20.0])) == pytest.approx([10.0, 20.0])
+
+
+def test_rates_keep_to_whole_repeats(spark):
+    grouped = spark.createDataFrame([([0.5, 0.5], 100), ([1.0, 0.0], 100)], "membership array<double>, tokens long")
+    steps, totals, converged = mixing.fit_rates(grouped, np.array([1e6, 1e6]), np.array([1.0, 4.0]))
+    rates = [r.rate for r in grouped.withColumn("rate", mixing.rate_column(F.col("membership"), steps, np.array([1.0, 4.0]))).collect()]
+    assert rates == [2.0, 1.0] and converged and totals == pytest.approx([200.0, 100.0])
 
 
 # ---- canonical values -------------------------------------------------------------------------
