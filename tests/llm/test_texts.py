@@ -74,8 +74,39 @@ def test_leaks_like_brute_force(spark):
     out = leak.leaks(df, it)
     assert {(r.doc_id, r.item_id) for r in out.collect()} == want and len(want) > 30
     assert leak.leaks(df.limit(0), it).count() == 0 and leak.leaks(df, it.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        leak.leaks(df, it, max_index_words=10)
+    # An index in parts finds the same with the same scores.
+    key = lambda rows: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in rows)
+    assert key(leak.leaks(df, it, max_index_words=500).collect()) == key(out.collect())
+
+
+def test_long_items_are_found_in_every_place(spark):
+    item = [f"x{i}" for i in range(1500)]
+    docs = [(i, " ".join(item[i : i + 13])) for i in range(0, 1488, 7)] + [(9999, " ".join(item[5:17]))]
+    found = leak.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == {i for i, _ in docs[:-1]}
+    assert leak.pieces(item[:12], 13) == [] and leak.pieces(item[:13], 13) == [item[:13]] and all(len(p) >= 13 for p in leak.pieces(item, 13))
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_wand_scores_like_all_items(block):
+    rng = random.Random(block)
+    entries = [(i, rng.choices([f"w{int(rng.expovariate(0.05))}" for _ in range(80)], k=rng.randrange(13, 60))) for i in range(200)]
+    df = leak.Counter(w for _, ws in entries for w in set(ws))
+    index = leak.Index(entries, df, len(entries), sum(len(ws) for _, ws in entries) / len(entries), block=block)
+    impact = [{} for _ in entries]
+    for w, t in index.vocabulary.items():
+        for p in range(index.starts[t], index.starts[t + 1]):
+            impact[index.docs[p]][t] = index.impacts[p]
+    some = 0
+    for _ in range(200):
+        own = rng.choice(entries)[1]
+        passage = leak.Counter(index.vocabulary[w] for w in own[: rng.randrange(5, 14)] + rng.choices(list(index.vocabulary), k=12))
+        for least in (1 - 1e-9, 0.4):
+            want = {k: s for k, m in enumerate(impact) if (s := sum(n * m.get(t, 0) for t, n in passage.items())) >= least}
+            got = dict(index.wand(passage, least))
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+            some += len(want)
+    assert some > 100
 
 
 # ---- mixing -----------------------------------------------------------------------------------
