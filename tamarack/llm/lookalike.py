@@ -49,13 +49,12 @@ FORMS = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>",
 LIGATURES = range(0xFB00, 0xFB50)
 
 
-def _invisible(cp: int) -> bool:
-    return any(a <= cp <= b for a, b in INVISIBLE)
+_GONE = frozenset(cp for a, b in INVISIBLE for cp in range(a, b + 1))
 
 
 def _one(ch: str) -> str:
     """What one code point becomes before composition."""
-    if _invisible(ord(ch)):
+    if ord(ch) in _GONE:
         return ""
     if unicodedata.category(ch) == "Zs":
         return " "

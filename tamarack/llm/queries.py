@@ -71,11 +71,12 @@ def p3_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.cells(table(spark, sf_dir, "parsed_card_quantity"))
 
 
-def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reference, aliases = table(spark, sf_dir, "ingredient"), table(spark, sf_dir, "ingredient_alias")
+def _mapped(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Both tables in one search, so that a name in both is searched once."""
     parts = [("parsed", "parsed_ingredient_line", "line_id"), ("edited", "edited_ingredient", "edit_id")]
-    found = [canonical.map_to_list(table(spark, sf_dir, name), key, "name", reference, aliases).withColumn("record_kind", F.lit(kind)) for kind, name, key in parts]
-    return found[0].unionByName(found[1])
+    names = [table(spark, sf_dir, name).filter(F.col(key).isNotNull()).select(F.struct(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("id")).alias("key"), "name") for kind, name, key in parts]
+    found = canonical.map_to_list(names[0].unionByName(names[1]), "key", "name", table(spark, sf_dir, "ingredient"), table(spark, sf_dir, "ingredient_alias"), every=every)
+    return found.withColumns({"record_kind": F.col("record_id.kind"), "record_id": F.col("record_id.id")})
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +85,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many values of each kind were mapped at each distance; -1 is none."""
-    return _mapped(spark, sf_dir).groupBy("record_kind", "distance").agg(F.count("*").alias("records"), F.count_distinct("entry_id").alias("entries"))
+    """How many values of each kind were mapped at each distance, and how many of them have other entries in reach; -1 is none."""
+    rows = _mapped(spark, sf_dir, every=True)
+    others = F.exists("in_reach", lambda e: e["entry_id"] != F.col("entry_id"))
+    return rows.groupBy("record_kind", "distance").agg(F.count("*").alias("records"), F.count_distinct("entry_id").alias("entries"), F.count_if(others).alias("with_others_in_reach"))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,10 +197,14 @@ def test_automaton_like_the_table():
     rng = random.Random(1)
     entries = sorted({"".join(rng.choices("abc", k=rng.randrange(1, 9))) for _ in range(150)})
     trie = canonical.Trie([(e, e) for e in entries])
-    for _ in range(150):
-        v = "".join(rng.choices("abcd", k=rng.randrange(1, 10)))
-        for k in range(4):
-            assert trie.within(v, k) == sorted((d, e) for e in entries if (d := edit_distance(v, e)) <= k)
+    long = "ab" * 40
+    trie_of_long = canonical.Trie([(long, long), (long + "c", long + "c")])
+    values = ["".join(rng.choices("abcd", k=rng.randrange(1, 10))) for _ in range(300)] + ["", "a" * 500]
+    for k in range(4):
+        for v, found in zip(values, trie.within(values, k), strict=True):
+            assert sorted(found) == sorted((d, e) for e in entries if (d := edit_distance(v, e)) <= k)
+        assert sorted(trie_of_long.within(["b" + long[1:]], k)[0]) == [(1, long), (2, long + "c")][:k]
+    assert canonical.Trie([]).within(["a", ""], 2) == [[], []]
 
 
 REFERENCE = [("1", "island radish"), ("2", "olive oil"), ("3", "salt"), ("4", "highland creme fraiche"), ("5", "mountain pear"), ("6", "twilight clove bud"), ("7", "amber mango")]
@@ -208,15 +212,30 @@ REFERENCE = [("1", "island radish"), ("2", "olive oil"), ("3", "salt"), ("4", "h
 
 @pytest.mark.parametrize("value,want", [("Island Radishes", "1"), ("radish (island)", "1"), ("oil , olive", "2"), ("Oil Olive", "2"), ("2 x 400g tins SALT!", "3"), ("lb. and 4 oz. our own highland crème fraîche", "4"), ("mountainpear", "5"), ("Larkhollow® muontain paer, finely chopped", "5"), ("clove bud (twilight)", "6"), ("kotlin style", "8"), ("sal", "none"), ("amber haggis", "none"), ("salt  for the sauce", "3"), ("", "none"), (None, "none"), ("x" * 100_000, "none"), ("???", "none"), ("paper napkins", "none")])
 def test_meant_entries(value, want):
-    trie = canonical.Trie([*REFERENCE, ("8", "kotlin style")])
-    assert trie.resolve(value)[0] == want
+    resolver = canonical.Resolver(canonical.Trie([*REFERENCE, ("8", "kotlin style")]), ["larkhollow"])
+    assert resolver.resolve([None, value, value])[1:] == 2 * [resolver.resolve([value])[0]] and resolver.resolve([value])[0][0] == want
+
+
+def test_all_entries_in_reach():
+    resolver = canonical.Resolver(canonical.Trie([("1", "red plum"), ("2", "red plums"), ("3", "rod plum"), ("4", "green plum")]))
+    assert resolver.in_reach(["red plum", None, "nothing"]) == [[("1", 0), ("2", 1), ("3", 1)], [], []]
+
+
+def test_remarks_are_learned(spark):
+    entries = ["apple", "pear", "plum", "cherry", "quince", "stone fruit"]
+    values = [(i, f"Dovecote {e}") for i, e in enumerate(entries)] + [(10, "stone apple"), (11, "2 litres plum"), (12, "Dovecote fig"), (13, None), (14, "dovecote plumm")]
+    ref = spark.createDataFrame([(e, e) for e in entries], "id string, canonical_name string")
+    df = spark.createDataFrame(values, "line_id long, name string")
+    out = {r.record_id: r.entry_id for r in canonical.map_to_list(df, "line_id", "name", ref, every=True).collect()}
+    assert [out[i] for i in range(6)] == entries and out[14] == "plum" and out[12] == out[13] == "none"
+    assert canonical.learn_remarks(df.withColumnRenamed("name", "value"), spark.sparkContext.broadcast(frozenset(e.replace(" ", "") for e in entries))) == ["dovecote"]
 
 
 def test_parts_far_behind_are_read():
-    trie = canonical.Trie([("1", "lemon"), ("2", "olive oil")])
-    assert trie.resolve("large, ripe cut, washed twice, chilled, in a bag, lemon")[0] == "1"
-    assert trie.resolve("tall, ripe cut, washed twice, chilled, in a bag, cold, oil, olive")[0] == "2"
-    few, many = (len(canonical.readings(", ".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)))) for n in (100, 200))
+    resolver = canonical.Resolver(canonical.Trie([("1", "lemon"), ("2", "olive oil")]))
+    found = resolver.resolve(["large, ripe cut, washed twice, chilled, in a bag, lemon", "tall, ripe cut, washed twice, chilled, in a bag, cold, oil, olive"])
+    assert [f[0] for f in found] == ["1", "2"]
+    few, many = (len(canonical.readings(", ".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)), [], 9)) for n in (100, 200))
     assert many < 2.2 * few
 
 
