@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm import canonical, leak, lookalike, mixing, scans, similar_sets, together
-from tamarack.session import table
+from tamarack.session import materialize, table
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +60,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous paragraphs: body lines between breaks, cut words joined, misreads repaired."""
-    body = _repaired(spark, sf_dir).filter("label = 'body' and trim(text) <> ''")
-    key = ["kind", "draft", "block", "para"]
-    pieces = F.array_sort(F.collect_list(F.struct("page", "line", "record_id", F.concat("text", F.when(F.col("joins"), "").otherwise(" ")).alias("piece"))))
-    return body.groupBy(*key).agg(F.trim(F.array_join(F.transform(pieces, lambda p: p["piece"]), "")).alias("paragraph"))
+    return scans.paragraphs(materialize(_repaired(spark, sf_dir)))
+
+
+def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by kind, pattern and label, and how many of them the model decided, as their pattern alone is open or speaks for another label."""
+    decided = F.col("label") != F.col("seed")
+    return _repaired(spark, sf_dir).filter("trim(text) <> ''").groupBy("kind", "pattern", "label").agg(F.count("*").alias("lines"), F.count_if(decided).alias("by_model"))
 
 
 def p3_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,4 +139,4 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_excess, p2_found, p2_links, p2_planned, p3_found, p3_paragraphs, p3_cells, p5_found, p5_report, p6_found, p6_items, p7_found, p7_report, p7_copies, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p1_found, p1_excess, p2_found, p2_links, p2_planned, p3_found, p3_paragraphs, p3_labels, p3_cells, p5_found, p5_report, p6_found, p6_items, p7_found, p7_report, p7_copies, p8_found, p8_clean)}

@@ -4,19 +4,22 @@ Method: sequence labelling of lines with a hidden Markov model whose states are
 headers and page numbers), body and break (titles, headings, step numbers, "Serves n").
 Observations are layout features of a line: its pattern, its place on the page, how its number
 relates to the page number, whether it repeats the title. The model is trained on the corpus
-itself: lines whose pattern is decisive are labels, counted by one distributed aggregate, and
-Viterbi decoding, with those labels held, settles the rest (a lone number at the foot of a page is a page number, in
+itself: lines whose pattern is decisive give first counts, one round of Viterbi training over all
+lines gives the final ones; all counts are distributed aggregates. Every line is then decoded: its pattern
+is evidence that place and neighbours can outweigh (a lone number at the foot of a page is a page number, in
 the middle a step number). Paragraphs are the body lines between two breaks, headers left out.
 
 A word cut at a line end is joined with the first word of the next body line, on the next page
 if need be. Misread characters are found with a lexicon of words: clean texts of the same
 domain, and words of the running titles. A word that is not in it but becomes one of its words
-when usual confusions are undone is a misread; so is a letter and digit mix and a stray mark.
+when confusions are undone is a misread; so is a letter and digit mix and a stray mark. Beside the usual
+confusions those count that the corpus itself shows for ``LEAST_SHOWN`` different words (``shown_confusions``).
 
-What reaches the driver: model counts, the lexicon (every distinct clean word, checked against
+What reaches the driver: model counts, confusions, the lexicon (every distinct clean word, checked against
 ``MOST_WORDS``) and the running titles (checked against ``MOST``).
-Pages are decoded in blocks of at most 32 pages and 1024 lines with the next page as context,
-so a draft of any size never gathers in one task.
+All lines are sorted by kind, draft, page and line over the cluster and cut into blocks of ``BLOCK`` lines,
+whatever drafts or pages they belong to, so no draft, page or missing number gathers in one task. A block sees
+``CONTEXT`` lines on either side of it, and paragraphs are numbered over all blocks of a draft.
 
 Defined results: null, empty and blank texts have no defect; a missing page or line number sorts
 first; of repeated rows of an id the least text counts; empty tables give an empty result; other
@@ -28,18 +31,22 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.canonical import CONTAINERS
 from tamarack.operators.units import UNITS
 from tamarack.session import by_key, materialize
 
+BLOCK, CONTEXT = 4096, 128
+LEAST_SHOWN = 8
 MOST = 1_000_000
 MOST_WORDS = 5_000_000
+LONG_WORD = 40  # letters; in longer words one confusion is undone, not two
 LEAST_TITLE = 4  # letters; fewer are left of page numbers and their misreads
 STATES = ("header", "body", "break")
 # Marks that cut a word at a line end; marks that scanning adds.
@@ -82,36 +89,88 @@ def title_part(text: str) -> str:
     return re.sub(r"^\S{1,3} *\| *| *\| *\S{1,3}$| +[·—] +\S{1,3}$| {2,}\S{1,3}$", "", t).strip()
 
 
+@lru_cache(maxsize=1 << 16)
+def _letter_set(text: str) -> int:
+    out = 0
+    for c in text:
+        out |= 1 << (ord(c) - 97)
+    return out
+
+
 def _close(a: str, b: str) -> bool:
     """Whether two folded titles are the same but for a few misreads."""
-    most = max(1, min(len(a), len(b)) // 7)
-    if abs(len(a) - len(b)) > most + 1:
+    most = max(1, min(len(a), len(b)) // 7) + (len(a) >= 8)
+    # An edit adds or takes away at most two letters of the set.
+    if abs(len(a) - len(b)) > most or (_letter_set(a) ^ _letter_set(b)).bit_count() > 2 * most:
         return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         prev, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return row[-1] <= most + 1
+        if min(row) > most:
+            return False
+    return row[-1] <= most
+
+
+class Confusions:
+    """What is read, and what may have been printed, one or two characters for one or two."""
+
+    def __init__(self, shown: list[tuple[str, str]] = ()):
+        pairs = dict.fromkeys([(r, p) for r, ps in CONFUSED.items() for p in ps])
+        pairs |= dict.fromkeys(CONFUSED_TWO.items()) | dict.fromkeys((r, p) for r, ps in CONFUSED_WIDE.items() for p in ps)
+        self.printed: dict[str, list[str]] = {}
+        for r, p in dict.fromkeys([*pairs, *shown]):
+            self.printed.setdefault(r, []).append(p)
+
+    def undone(self, word: str) -> Iterator[str]:
+        """All words that one undone confusion makes of this one."""
+        for i in range(len(word)):
+            for n in (1, 2):
+                for p in self.printed.get(word[i : i + n], ()) if i + n <= len(word) else ():
+                    yield word[:i] + p + word[i + n :]
+
+
+USUAL = Confusions()
+
+
+def shown_confusions(lines: DataFrame, words: set[str]) -> list[tuple[str, str]]:
+    """(read, printed) that explain at least ``LEAST_SHOWN`` different unknown tokens, each of a word of five letters or more.
+
+    Tokens and words that are the same but for one character, two for one or one for two, meet in a join on
+    what they share; both are distinct and few beside the corpus. A token that several known words explain is left out,
+    and so is a pair that is as common the other way round, as the letters of different words are.
+    """
+    spark = lines.sparkSession
+    known = spark.createDataFrame([(w,) for w in sorted(words) if len(w) >= 5 and w.isalpha()], "w string")
+    token = F.explode(F.split(F.lower("text"), r"[\s" + _EDGE.replace("\\[", "").replace("\\]", "") + r"\[\]]+"))
+    tokens = lines.filter("text is not null").select(token.alias("w")).filter(F.length("w").between(5, 40)).distinct()
+    unknown = tokens.join(known, "w", "left_anti")
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        place = F.sequence(F.lit(1), F.length("w"))
 
+        def cut(n: int) -> Column:
+            return F.transform(place, lambda i: F.struct(F.concat(F.substring("w", F.lit(1), i - 1), F.lit("\n"), F.substring("w", i + n, F.length("w"))).alias("rest"), F.substring("w", i, F.lit(n)).alias("c")))
 
-def unconfused(word: str) -> Iterator[str]:
-    """All words that one undone confusion makes of this one."""
-    for i, c in enumerate(word):
-        for d in CONFUSED.get(c, ""):
-            yield word[:i] + d + word[i + 1 :]
-        two = word[i : i + 2]
-        if two in CONFUSED_TWO:
-            yield word[:i] + CONFUSED_TWO[two] + word[i + 2 :]
-        for wide in CONFUSED_WIDE.get(c, ()):
-            yield word[:i] + wide + word[i + 1 :]
+        rows = df.select("w", F.explode(F.concat(cut(1), cut(2))).alias("p")).select(F.col("w").alias(name), F.col("p.rest").alias("rest"), F.col("p.c").alias(f"{name}_c"))
+        return rows.distinct()
+
+    met = keyed(unknown, "read").join(keyed(known, "printed"), "rest").filter("read_c <> printed_c and length(read_c) + length(printed_c) < 4")
+    # The shortest pair that explains a token; those of one letter less on both sides only repeat it.
+    met = met.groupBy("read").agg(F.count_distinct("printed").alias("n"), F.min(F.struct(F.length("read_c") + F.length("printed_c"), "read_c", "printed_c")).alias("p")).filter("n = 1")
+    pairs = met.groupBy("p.read_c", "p.printed_c").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_SHOWN).limit(MOST + 1).collect()
+    if len(pairs) > MOST:
+        raise ValueError("too many confusions")
+    times = {(r.read_c, r.printed_c): r.n for r in pairs}
+    return sorted(k for k, n in times.items() if n > 2 * times.get(k[::-1], 0))
 
 
 class Lexicon:
     """Known words, and what an unknown one was before it was misread."""
 
-    def __init__(self, words: set[str]):
-        self.words, self.memory = words, {}
+    def __init__(self, words: set[str], confusions: Confusions = USUAL):
+        self.words, self.confusions, self.memory = words, confusions, {}
 
     def known(self, word: str) -> bool:
         """Known as a whole, or made of known parts joined by hyphens."""
@@ -126,7 +185,8 @@ class Lexicon:
         return self.memory[word]
 
     def _original(self, word: str) -> str | None:
-        if self.known(word) or not word or len(word) > 40:
+        unconfused = self.confusions.undone
+        if self.known(word) or not word:
             return None
         if "-" in word.strip("-"):
             parts = [p if not p or self.known(p) else self.original(p) for p in word.split("-")]
@@ -135,7 +195,7 @@ class Lexicon:
         if first:
             return first[0]
         odd = not word.isalpha()
-        if len(word) >= 5 or odd:
+        if (len(word) >= 5 or odd) and len(word) <= LONG_WORD:
             for w in dict.fromkeys(unconfused(word)):
                 for v in unconfused(w):
                     if v in self.words and len(v) >= (3 if odd else 5):
@@ -165,7 +225,7 @@ class Titles:
         key = fold(title_part(text))
         if key in self.exact:
             return True
-        if len(key) < 8 or len(text) > 80:
+        if len(key) < LEAST_TITLE:
             return False
         if key not in self.memory:
             near = [k for n in range(len(key) - 4, len(key) + 5) for k in self.by_length.get(n, ())]
@@ -194,7 +254,7 @@ def features(pdf: pd.DataFrame, titles: Titles, names: set[str], inside: bool) -
 
     def name_like(part: str) -> bool:
         k = fold(part)
-        return k in names or (len(k) > 6 and any(fold(w) in names for w in unconfused(part.lower())))
+        return k in names or (len(k) > 6 and any(fold(w) in names for w in USUAL.undone(part.lower())))
 
     patterns = []
     for t in texts:
@@ -235,7 +295,8 @@ def features(pdf: pd.DataFrame, titles: Titles, names: set[str], inside: bool) -
             again = any(_close(key, s) for s in seen) or inside or (i + 1 < n and patterns[i + 1] == "title" and _close(key, fold(texts[i + 1])))
             if not any(_close(key, s) for s in seen):
                 seen.append(key)
-            number, seed = ("again", "header") if again or (place == "first" and pages[i] is not None and pages[i] > 1) else ("new", "break")
+            late = place == "first" and pages[i] is not None and pages[i] > 1
+            number, seed = ("again", "header") if again else ("late", "header") if late else ("new", "break")
         elif p in ("page", "series", "card", "title+number"):
             seed = "header"
             digits = re.findall(r"\d+", t)
@@ -254,13 +315,22 @@ def features(pdf: pd.DataFrame, titles: Titles, names: set[str], inside: bool) -
     return out
 
 
+def sign(pattern: str, place: str, number: str) -> str:
+    """What a line looks like: its pattern, for titles and numbers how they stand to others, and for a lone number also its place."""
+    return f"{pattern} {number} {place}" if pattern == "bare" else f"{pattern} {number}" if pattern == "title" else pattern
+
+
+# What is known before any count, worth two lines each. A lone number at the edge of a page that is the page's own number is none of its text.
+PRIOR = [("pattern", "header", f"bare equal {place}", 2) for place in ("first", "last", "only")] + [("place", "header", place, 2) for place in ("first", "last")]
+
+
 class Model:
-    """Start, transition and emission probabilities, from seed counts with add-one smoothing."""
+    """Transition and emission probabilities, from counts with ``PRIOR`` and a tenth of a line for every value."""
 
     def __init__(self, counts: list[tuple[str, str, str, int]]):
         values: dict[str, set[str]] = {}
         table: dict[tuple[str, str, str], int] = {}
-        for factor, state, value, n in counts:
+        for factor, state, value, n in [*PRIOR, *counts]:
             values.setdefault(factor, set()).add(value)
             table[factor, state, value] = table.get((factor, state, value), 0) + n
         self.logs = {}
@@ -268,16 +338,12 @@ class Model:
             for s in STATES:
                 total = sum(table.get((factor, s, v), 0) for v in vs)
                 for v in vs:
-                    self.logs[factor, s, v] = math.log((table.get((factor, s, v), 0) + 1) / (total + len(vs)))
+                    self.logs[factor, s, v] = math.log((table.get((factor, s, v), 0) + 0.1) / (total + 0.1 * len(vs)))
 
-    def emission(self, pattern: str, place: str, number: str, seed: str) -> np.ndarray:
-        if seed:  # a label, not a guess
-            return np.array([0.0 if s == seed else -1e6 for s in STATES])
-        # A lone number may be either: its pattern says nothing beyond "not body".
-        p = [0.0, -12.0, 0.0] if pattern == "bare" else [self.logs.get(("pattern", s, pattern), -12.0) for s in STATES]
-        return np.array([p[k] + self.logs.get(("place", s, place), -8.0) + self.logs.get(("number", s, number if pattern in ("bare", "title") else "none"), -4.0) for k, s in enumerate(STATES)])
+    def emission(self, pattern: str, place: str, number: str) -> np.ndarray:
+        return np.array([self.logs.get(("pattern", s, sign(pattern, place, number)), -12.0) + self.logs.get(("place", s, place), -8.0) for s in STATES])
 
-    def decode(self, lines: list[tuple[str, str, str, str]]) -> list[str]:
+    def decode(self, lines: list[tuple[str, str, str]]) -> list[str]:
         """The most probable states of one page (Viterbi)."""
         if not lines:
             return []
@@ -362,9 +428,12 @@ def lexicon_words(clean: list[Column | DataFrame], lines: DataFrame, titles: lis
     spark = lines.sparkSession
     keys = spark.createDataFrame([(k,) for k in titles], "key string")
     at_edge = lines.filter("kind = 'ocr_line'").withColumn("key", _fold_column(_title_part(F.col("text")))).join(F.broadcast(keys), "key", "left_semi")
-    own = {r["w"]: r["count"] for r in counted(at_edge.select(_title_part(F.col("text")).alias("text"))).collect()}
+    rows = counted(at_edge.select(_title_part(F.col("text")).alias("text"))).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many words of titles")
+    own = {r["w"]: r["count"] for r in rows}
     for w, n in sorted(own.items(), key=lambda x: -x[1]):
-        if not any(v in words or own.get(v, 0) > 4 * n for v in unconfused(w)):
+        if not any(v in words or own.get(v, 0) > 4 * n for v in USUAL.undone(w)):
             words.add(w)
     return words
 
@@ -437,8 +506,8 @@ def misreads(text: str, lexicon: Lexicon, head: str = "", tail: str = "", is_pag
     return bad, " ".join(out)
 
 
-def _defects(pdf: pd.DataFrame, labels: list[str], feats: list[tuple], lexicon: Lexicon) -> list[tuple]:
-    """Per line: furniture, hyphen, misread, paragraph number, repaired text, whether it joins the next one."""
+def _defects(pdf: pd.DataFrame, labels: list[str], patterns: list[str], lexicon: Lexicon) -> list[tuple]:
+    """Per line of one draft: furniture, hyphen, misread, paragraphs that begin with it, repaired text, whether it joins the next one."""
     texts = [t or "" for t in pdf["text"]]
     bare = [strip_strays(t)[0] for t in texts]
     kinds, records = pdf["kind"].tolist(), pdf["record_id"].tolist()
@@ -469,25 +538,91 @@ def _defects(pdf: pd.DataFrame, labels: list[str], feats: list[tuple], lexicon:
         if cut:
             hyphen.add(i)
         joined.add(i)
-    out, para = [], 0
+    out = []
     for i, t in enumerate(texts):
-        if labels[i] == "break" or (i and kinds[i] == "card_step" and records[i] != records[i - 1]):
-            para += 1
-        page = feats[i][0] in ("page", "bare", "series", "card", "title+number")
+        step = int(labels[i] == "break") + int(i > 0 and labels[i - 1] == "break") + int(i > 0 and kinds[i] == "card_step" and records[i] != records[i - 1])
+        page = patterns[i] in ("page", "bare", "series", "card", "title+number")
         bad, fixed = misreads(t, lexicon, head.get(i, ""), tail.get(i, ""), page)
         if i in joined:
             fixed = fixed[:-1] if i in hyphen else fixed
-        out.append((labels[i] == "header" and bool(bare[i]), i in hyphen, bad and bool(t.strip()), para, fixed, i in joined))
-        if labels[i] == "break":
-            para += 1
+        out.append((labels[i] == "header" and bool(bare[i]), i in hyphen, bad and bool(t.strip()), step, fixed, i in joined))
     return out
 
 
-def repair(ocr: DataFrame | None, steps: DataFrame | None, clean: list[DataFrame], names: DataFrame) -> DataFrame:
-    """(kind, record_id, draft, block, page, line, label, furniture, hyphen, misread, para, text, joins): every printed line.
+def in_blocks(lines: DataFrame, size: int = BLOCK, context: int = CONTEXT) -> DataFrame:
+    """Lines with ``seq``, their place in reading order over all drafts, once for each ``block`` of ``size`` lines that they are in or, with ``context`` set, near to."""
+    spark = lines.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    order = ["kind", "draft", "page", "line", "record_id"]
+    # Range partitions share out a hot draft too, as the id is the last key.
+    placed = materialize(lines.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
+    offsets, total = [], 0
+    for r in sorted(placed.groupBy("part").count().collect()):  # one row for each partition
+        offsets.append((r["part"], total))
+        total += r["count"]
+    numbered = placed.join(F.broadcast(spark.createDataFrame(offsets, "part bigint, offset bigint")), "part").withColumn("seq", F.col("offset") + F.col("at")).drop("part", "offset", "at")
+
+    def block(seq: Column) -> Column:
+        return F.floor(seq / size).cast("bigint")
+
+    near = F.array_distinct(F.array(*[block(F.col("seq") + d) for d in (0, -context, context)]))
+    rows = numbered.withColumn("block", F.explode(F.filter(near, lambda b: (b >= 0) & (b <= (max(total, 1) - 1) // size))))
+    return rows.withColumn("context", F.col("block") != block(F.col("seq")))
+
+
+def _by_block(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole blocks of a partition in which the rows of each block stand together."""
+    rest = None
+    for part in parts:
+        if not len(part):
+            continue
+        part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+        block = part["block"].to_numpy()
+        ends = [*np.flatnonzero(block[1:] != block[:-1]) + 1]
+        for a, b in zip([0, *ends], ends, strict=False):
+            yield part.iloc[a:b].reset_index(drop=True)
+        rest = part.iloc[ends[-1] :].reset_index(drop=True) if ends else part
+    if rest is not None:
+        yield rest
+
+
+def _runs(pdf: pd.DataFrame, *columns: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of rows that agree in these columns; missing values agree."""
+    if len(pdf):
+        change = np.zeros(len(pdf), bool)
+        for c in columns:
+            v = pdf[c]
+            change |= ((v != v.shift()) & ~(v.isna() & v.shift().isna())).to_numpy()
+        change[0] = True
+        starts = np.flatnonzero(change)
+        yield from zip(starts, [*starts[1:], len(pdf)], strict=True)
+
+
+def _labels(pdf: pd.DataFrame, model: Model) -> list[str]:
+    """The states of the lines of a block, page by page; each record of a card step is a page."""
+    out: list[str] = []
+    lines = list(zip(pdf["pattern"], pdf["place"], pdf["number"], strict=True))
+    record = pdf["record_id"].where(pdf["kind"] == "card_step", 0)
+    for a, b in _runs(pdf.assign(record=record), "kind", "draft", "page", "record"):
+        out += model.decode(lines[a:b])
+    return out
+
+
+def _counts(rows: DataFrame) -> list[tuple[str, str, str, int]]:
+    """(factor, state, value, n) of lines with ``state`` and the state ``before`` them on their page."""
+    looks = F.when(F.col("pattern") == "bare", F.concat_ws(" ", "pattern", "number", "place")).when(F.col("pattern") == "title", F.concat_ws(" ", "pattern", "number")).otherwise(F.col("pattern"))
+    three = [("pattern", F.col("state"), looks), ("place", F.col("state"), F.col("place")), ("next", F.col("before"), F.col("state"))]
+    factor = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), s.alias("s"), v.alias("v")) for f, s, v in three]))
+    counts = rows.select(factor.alias("x")).filter("x.s <> '' and x.v <> ''").groupBy("x").count().collect()
+    return [(r.x.f, r.x.s, r.x.v, r["count"]) for r in counts]
+
+
+def repair(ocr: DataFrame | None, steps: DataFrame | None, clean: list[DataFrame], names: DataFrame, block: int = BLOCK, context: int = CONTEXT) -> DataFrame:
+    """(kind, record_id, draft, block, seq, page, line, pattern, seed, label, furniture, hyphen, misread, step, text, joins): every printed line.
 
     ``clean`` are data frames of one column of well-printed text of the same domain; ``names`` has one
-    column with the names that titles are made of.
+    column with the names that titles are made of. ``step`` is how many paragraphs end before the line.
     """
     sc = (ocr if ocr is not None else steps).sparkSession.sparkContext
     lines = materialize(scan_lines(ocr, steps))
@@ -497,56 +632,64 @@ def repair(ocr: DataFrame | None, steps: DataFrame | None, clean: list[DataFrame
     folded = {fold(r["n"]) for r in name_rows}
     titles = running_titles(lines, folded)
     words = lexicon_words([*clean, names], lines, titles)
-    shared = sc.broadcast((titles, folded, words))
-    block = (F.coalesce("page", F.lit(0)) / 32).cast("bigint") * 1_000_000 + (F.coalesce("line", F.lit(0)) / 1024).cast("bigint")
-    context = F.when((F.col("kind") == "ocr_line") & (F.col("page") % 32 == 0) & (F.col("line") < 1024) & (F.col("page") > 0), F.array(F.col("b"), F.col("b") - 1_000_000)).otherwise(F.array("b"))
-    blocks = lines.withColumn("b", block).withColumn("block", F.explode(context)).withColumn("context", F.col("block") != F.col("b")).drop("b")
-
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["page", "line", "record_id"], na_position="first", kind="stable").reset_index(drop=True)
-
+    shared = sc.broadcast((titles, folded, words, shown_confusions(lines, words)))
     memory: dict = {}
 
     def tools() -> tuple[Titles, set[str], Lexicon]:
         if "tools" not in memory:
-            t, n, w = shared.value
-            memory["tools"] = (Titles(t), n, Lexicon(w))
+            t, n, w, c = shared.value
+            memory["tools"] = (Titles(t), n, Lexicon(w, Confusions(c)))
         return memory["tools"]
 
     def observe(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
+        pdf = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
         t, n, _ = tools()
-        f = features(pdf, t, n, pdf["kind"].iloc[0] == "card_step")
-        pdf["pattern"], pdf["place"], pdf["number"], pdf["seed"] = zip(*f, strict=True)
-        same = (pdf["page"] == pdf["page"].shift()).to_numpy()
+        found = [f for a, b in _runs(pdf, "kind", "draft") for f in features(pdf.iloc[a:b], t, n, pdf["kind"].iloc[a] == "card_step")]
+        pdf["pattern"], pdf["place"], pdf["number"], pdf["seed"] = zip(*found, strict=True)
+        same = np.zeros(len(pdf), bool)
+        for a, b in _runs(pdf, "kind", "draft", "page"):
+            same[a + 1 : b] = True
         pdf["before"] = np.where(same, pdf["seed"].shift().fillna(""), "")
         return pdf
 
-    schema = "kind string, record_id bigint, draft string, page bigint, line bigint, text string, block bigint, context boolean"
-    observed = materialize(by_key(blocks, "kind", "draft", "block").groupBy("kind", "draft", "block").applyInPandas(observe, schema + ", pattern string, place string, number string, seed string, before string"))
-    seeds = observed.filter("seed <> '' and not context")
-    number = F.when(F.col("pattern").isin("page", "series", "title+number", "bare", "title"), F.col("number")).otherwise("none")
-    factor = F.explode(F.array(F.struct(F.lit("pattern").alias("f"), F.col("seed").alias("s"), F.col("pattern").alias("v")), F.struct(F.lit("place").alias("f"), F.col("seed").alias("s"), F.col("place").alias("v")), F.struct(F.lit("number").alias("f"), F.col("seed").alias("s"), number.alias("v")), F.struct(F.lit("next").alias("f"), F.col("before").alias("s"), F.col("seed").alias("v"))))
-    counts = seeds.select(factor.alias("x")).filter("x.s <> ''").groupBy("x").count().collect()
-    model = Model([(r.x.f, r.x.s, r.x.v, r["count"]) for r in counts])
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        feats = list(zip(pdf["pattern"], pdf["place"], pdf["number"], pdf["seed"], strict=True))
-        labels: list[str] = []
-        page_key = list(zip(pdf["page"].fillna(-1), pdf["record_id"] if pdf["kind"].iloc[0] == "card_step" else [0] * len(pdf), strict=True))
-        start = 0
-        for i in range(1, len(pdf) + 1):
-            if i == len(pdf) or page_key[i] != page_key[start]:
-                labels += model.decode(feats[start:i])
-                start = i
-        rows = _defects(pdf, labels, feats, tools()[2])
-        pdf["label"] = labels
-        pdf["furniture"], pdf["hyphen"], pdf["misread"], pdf["para"], pdf["text"], pdf["joins"] = zip(*rows, strict=True)
-        return pdf[~pdf["context"]][["kind", "record_id", "draft", "block", "page", "line", "label", "furniture", "hyphen", "misread", "para", "text", "joins"]]
-
-    out = "kind string, record_id bigint, draft string, block bigint, page bigint, line bigint, label string, furniture boolean, hyphen boolean, misread boolean, para int, text string, joins boolean"
-    return by_key(observed.drop("before"), "kind", "draft", "block").groupBy("kind", "draft", "block").applyInPandas(decide, out)
+    schema = "kind string, record_id bigint, draft string, page bigint, line bigint, text string, seq bigint, block bigint, context boolean, pattern string, place string, number string, seed string, before string"
+    blocks = by_key(in_blocks(lines, block, context), "block").groupBy("block").applyInPandas(observe, schema)
+    observed = materialize(blocks)
+    first = Model(_counts(observed.filter("not context").withColumnRenamed("seed", "state")))
+
+    def label(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _by_block(parts):
+            states = pd.Series(_labels(pdf, first))
+            before = np.array([""] * len(pdf), dtype=object)
+            for a, b in _runs(pdf, "kind", "draft", "page"):
+                before[a + 1 : b] = states[a : b - 1]
+            yield pdf[["pattern", "place", "number"]].assign(state=states, before=before)[~pdf["context"]]
+
+    model = Model(_counts(observed.mapInPandas(label, "pattern string, place string, number string, state string, before string")))
+    kept = ["kind", "record_id", "draft", "block", "seq", "page", "line", "pattern", "seed"]
+
+    def decide(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _by_block(parts):
+            labels, patterns = _labels(pdf, model), pdf["pattern"].tolist()
+            rows = [r for a, b in _runs(pdf, "kind", "draft") for r in _defects(pdf.iloc[a:b], labels[a:b], patterns[a:b], tools()[2])]
+            out = pdf[kept].assign(label=labels)
+            out["furniture"], out["hyphen"], out["misread"], out["step"], out["text"], out["joins"] = zip(*rows, strict=True)
+            yield out[~pdf["context"]]
+
+    out = "kind string, record_id bigint, draft string, block bigint, seq bigint, page bigint, line bigint, pattern string, seed string, label string, furniture boolean, hyphen boolean, misread boolean, step int, text string, joins boolean"
+    return observed.drop("before").mapInPandas(decide, out)
+
+
+def paragraphs(repaired: DataFrame) -> DataFrame:
+    """(kind, draft, para, paragraph): body lines between breaks as one text, over all blocks and pages of a draft."""
+    own = repaired.select("kind", "draft", "block", "seq", "step", "label", "text", "joins")
+    own = own.withColumn("within", F.sum("step").over(Window.partitionBy("kind", "draft", "block").orderBy("seq")))
+    # One row for each block of a draft.
+    sums = own.groupBy("kind", "draft", "block").agg(F.sum("step").alias("steps"))
+    sums = sums.withColumn("earlier", F.coalesce(F.sum("steps").over(Window.partitionBy("kind", "draft").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("steps")
+    rows = own.join(sums, ["kind", "draft", "block"]).filter("label = 'body' and trim(text) <> ''").withColumn("para", F.col("earlier") + F.col("within"))
+    pieces = F.array_sort(F.collect_list(F.struct("seq", F.concat("text", F.when(F.col("joins"), "").otherwise(" ")).alias("piece"))))
+    return rows.groupBy("kind", "draft", "para").agg(F.trim(F.array_join(F.transform(pieces, lambda p: p["piece"]), "")).alias("paragraph"))
 
 
 # ---- cells of ingredient tables -------------------------------------------------------------

@@ -293,6 +293,42 @@ def test_scanned_lines(spark):
     assert nothing.count() == 0
 
 
+def test_block_edges_do_not_show(spark):
+    """A hot draft, long pages, cut words and paragraphs over every kind of edge: the same in small blocks as in one."""
+    body = ["Knead the dough on a flou-", "red surface until smooth and elas-", "tic. Spoon the slow-", "cooked onion over the rice and"]
+    rows = [("hot", 1 + i // 3000, i % 3000, "Plain Fare Cards" if i % 3000 == 0 else "1. Make the dough" if i % 70 == 0 else body[i % 4]) for i in range(6500)]
+    rows += [("many pages", p, n, t) for p in range(1, 90) for n, t in enumerate(["Plain Fare Cards", *body, f"- {p} -"])]
+    rows += [(None, None, None, "Spoon the butter") for _ in range(200)]
+    ocr = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "line_id long, draft_id string, page_no int, line_no int, text string")
+    clean, names = [spark.createDataFrame([(TEXT,)], "t string")], spark.createDataFrame([("island radish",)], "n string")
+    whole, small = (scans.repair(ocr, None, clean, names, block=b, context=100) for b in (100_000, 150))
+    key = lambda df: sorted(map(tuple, df.select("record_id", "label", "furniture", "hyphen", "misread", "text", "joins").collect()))
+    assert key(whole) == key(small) and small.select("block").distinct().count() > 40
+    one, many = (sorted(map(tuple, scans.paragraphs(df).select("draft", "paragraph").collect())) for df in (whole, small))
+    assert one == many and sum(d == "many pages" for d, _ in one) == 1
+    by_place = {r.record_id: r for r in small.collect()}
+    # The words cut at lines 1023 and 1024 of a page, and over pages 31 and 32.
+    cut = [i for i, r in enumerate(rows) if r[0] == "hot" and 1020 < r[2] < 1030 and r[3].endswith(("flou-", "elas-"))]
+    assert cut and all(by_place[i].hyphen for i in cut)
+    assert "crois" not in " ".join(p for _, p in many)
+
+
+def test_the_model_decides(spark):
+    # Among running titles the pattern of a heading cannot hold against place and neighbours learned from the corpus.
+    model = scans.Model([("pattern", "body", "text", 900), ("pattern", "header", "page", 100), ("pattern", "break", "heading", 50), ("place", "body", "middle", 900), ("place", "header", "last", 100), ("place", "break", "middle", 50), ("next", "body", "body", 800), ("next", "body", "header", 100), ("next", "break", "body", 50)])
+    assert model.decode([("heading", "middle", "none"), ("text", "middle", "none"), ("bare", "last", "equal")]) == ["break", "body", "header"]
+
+
+def test_confusions_are_shown_by_the_corpus(spark):
+    known = {w + "mble" for w in ("tre", "scra", "cru", "stu", "gru", "fu", "tu", "ru", "bu", "ju", "mu", "assembly ra")}
+    known = {w for w in known if " " not in w}
+    read = [w.replace("m", "w") for w in known] + ["tremblz", "xxxxx"]
+    lines = spark.createDataFrame([(" ".join(read),), (None,), ("",)], "text string")
+    assert scans.shown_confusions(lines, known) == [("w", "m")]
+    assert scans.Lexicon({"crumble"}, scans.Confusions([("w", "m")])).original("cruwble") == "crumble"
+    assert scans.shown_confusions(lines.limit(0), known) == [] and scans.shown_confusions(lines, set()) == []
+
+
 def test_running_titles_of_one_draft(spark):
     def rows(draft, title, first_id):
         return [(first_id + 10 * p + n, draft, p, n, t) for p in range(1, 5) for n, t in enumerate([title, "Knead the dough on a floured surface until", "smooth and elastic.", str(p)])]
