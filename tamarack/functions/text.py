@@ -144,3 +144,22 @@ def safe_path(c: Column) -> Column:
 def usable_image(c: Column) -> Column:
     """Whether an image URL is there and names a file."""
     return F.coalesce((F.length(c) > 0) & ~F.endswith(c, F.lit("/")), F.lit(False))
+
+
+def without_param(url: Column, name: str) -> Column:
+    """The address without this query parameter; the others keep their order."""
+    head = F.substring_index(url, "?", 1)
+    rest = F.when(F.contains(url, F.lit("?")), F.substring(url, F.length(F.substring_index(url, "?", 1)) + 2, F.length(url)))
+    kept = F.filter(F.split(rest, "&"), lambda p: F.substring_index(p, "=", 1) != name)
+    return F.when(F.size(kept) > 0, F.concat(head, F.lit("?"), F.array_join(kept, "&"))).otherwise(head)
+
+
+def redacted(url: Column) -> Column:
+    """The address with the password before its host starred out."""
+    return F.regexp_replace(url, ":[^:@]+@", ":***@")
+
+
+def safe_segments(parts: Column) -> Column:
+    """Whether path segments stay inside their root: there are some, and none holds "..", a slash or a backslash."""
+    bad = F.exists(parts, lambda p: F.coalesce(F.contains(p, F.lit("..")) | F.contains(p, F.lit("/")) | F.contains(p, F.lit("\\")), F.lit(True)))
+    return F.coalesce((F.size(F.filter(parts, lambda p: ~p.isin("", "."))) > 0) & ~bad, F.lit(False))

@@ -21,10 +21,16 @@ def scaled_entries(entries: DataFrame, recipes: DataFrame, overrides: DataFrame
     servings; ``overrides``: recipe_id, planned.
     """
     out = entries.join(recipes, "recipe_id", "left")
-    out = out.join(small_or_join(overrides), "recipe_id", "left") if overrides is not None else out.withColumn("planned", F.lit(None).cast("int"))
+    out = out.join(overrides, "recipe_id", "left") if overrides is not None else out.withColumn("planned", F.lit(None).cast("int"))
     return out.withColumns({"quantity": F.col("quantity") * scale(F.col("servings"), F.col("planned")), "recipe_name": F.coalesce("recipe_name", F.lit("Unknown recipe"))}).drop("planned", "servings")
 
 
+def scaled_views(lines: DataFrame, servings: Column, targets: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """Each line once for each number of people, with its quantity scaled; a missing quantity stays missing."""
+    each = lines.withColumn("target", F.explode(F.array(*map(F.lit, targets))))
+    return each.withColumn("scaled", F.col("quantity") * scale(servings, F.col("target")))
+
+
 def unit_totals(entries: DataFrame, *by: str) -> DataFrame:
     """(*by, ingredient_id, unit, total): sums by unit, a missing unit being a unit of its own; missing quantities are left out."""
     return entries.filter("quantity is not null").groupBy(*by, "ingredient_id", "unit").agg(F.sum("quantity").alias("total"))

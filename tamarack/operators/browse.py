@@ -166,10 +166,19 @@ def completeness(steps: Column, rating_count: Column) -> Column:
     return (F.coalesce(F.size(steps), F.lit(0)) * 1000 + F.coalesce(rating_count, F.lit(0))).cast("bigint")
 
 
+def all_details(recipes: DataFrame, lines: DataFrame, ingredients: DataFrame) -> DataFrame:
+    """(recipe_id, slug, name, ingredients, variants): each side is collected for its recipe before the join, so rows do not multiply.
+
+    ``lines``: recipe_id, ingredient_id. Names of ingredients are distinct and sorted; variants (id, slug, name, subtitle) are in the order of their ids.
+    """
+    own = lines.join(ingredients.select(F.col("id").alias("ingredient_id"), "canonical_name"), "ingredient_id").groupBy("recipe_id").agg(F.array_sort(F.collect_set("canonical_name")).alias("ingredients"))
+    kin = recipes.filter("variant_of_id is not null").groupBy(F.col("variant_of_id").alias("recipe_id")).agg(F.array_sort(F.collect_list(F.struct("id", "slug", "name", "subtitle"))).alias("variants"))
+    return recipes.select(F.col("id").alias("recipe_id"), "slug", "name").join(own, "recipe_id", "left").join(kin, "recipe_id", "left")
+
+
 def details(recipes: DataFrame, lines: DataFrame, ingredients: DataFrame, key: str) -> DataFrame:
-    """One recipe with its ingredients and variants; each side is collected for this recipe before the join."""
+    """The details of one recipe by its slug; only its own lines and variants are collected."""
     one = recipes.filter(F.col("slug") == key)
-    own = lines.join(one.select(F.col("id").alias("recipe_id")), "recipe_id", "left_semi").join(ingredients.select(F.col("id").alias("ingredient_id"), "canonical_name"), "ingredient_id")
-    own = own.groupBy("recipe_id").agg(F.array_sort(F.collect_set("canonical_name")).alias("ingredients"))
-    kin = recipes.filter("variant_of_id is not null").groupBy(F.col("variant_of_id").alias("recipe_id")).agg(F.array_sort(F.collect_list(F.struct("id", "slug", "name", "subtitle"))).alias("variants"))
-    return one.select(F.col("id").alias("recipe_id"), "slug", "name").join(own, "recipe_id", "left").join(kin, "recipe_id", "left")
+    ids = one.select(F.col("id").alias("recipe_id"))
+    kin = recipes.join(ids.select(F.col("recipe_id").alias("variant_of_id")), "variant_of_id", "left_semi")
+    return all_details(one.unionByName(kin), lines.join(ids, "recipe_id", "left_semi"), ingredients).join(ids, "recipe_id", "left_semi")

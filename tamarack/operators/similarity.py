@@ -49,6 +49,32 @@ def overlaps(items: DataFrame, recipes: int, least: int = 6) -> DataFrame:
     return common.join(wa, "id_a").join(wb, "id_b").select("id_a", "id_b", "shared", F.round(score, 9).alias("overlap"))
 
 
+def similar_edges(items: DataFrame, recipes: int, threshold: float, least: int = 6) -> DataFrame:
+    """(id_a, id_b, shared, overlap): both directions of all pairs of lists without repeats whose overlap reaches ``threshold``.
+
+    The same scores as ``overlaps``, from far fewer candidates. If the lighter list of a pair reaches the
+    threshold, the rarest item that both have stands where the weight from there on still makes up that share
+    of the list; so of the lighter list only the few rarest items are looked up in the prefixes of the others.
+    """
+    order = Window.partitionBy("id").orderBy("df", "item")
+    rows = items.filter("times = 1").join(weights(items, recipes), "item")
+    whole = Window.partitionBy("id")
+    ranked = rows.select("id", "item", "idf", F.row_number().over(order).alias("rank"), F.count("*").over(whole).alias("n"), F.sum("idf").over(whole).alias("weight"), F.sum("idf").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("rest"))
+    ranked = materialize(ranked.filter(F.col("n") >= least))
+    prefix = ranked.filter(F.col("rank") <= F.col("n") - least + 1)
+    light = prefix.filter(F.col("rest") >= (threshold - 1e-6) * F.col("weight")).select(F.col("id").alias("id_a"), "item", F.col("weight").alias("w_a"))
+    heavy = prefix.select(F.col("id").alias("id_b"), "item", F.col("weight").alias("w_b"))
+    lighter = (F.col("w_a") < F.col("w_b")) | ((F.col("w_a") == F.col("w_b")) & (F.col("id_a") < F.col("id_b")))
+    met = light.join(heavy, "item").filter(lighter).select("id_a", "id_b").distinct()
+    lists = ranked.groupBy("id").agg(F.collect_list(F.struct("item", "idf")).alias("own"), F.first("weight").alias("weight"))
+    pair = met.join(lists.select(F.col("id").alias("id_a"), F.col("own").alias("own_a"), "weight"), "id_a").join(lists.select(F.col("id").alias("id_b"), F.transform("own", lambda x: x["item"]).alias("items_b")), "id_b")
+    pair = pair.withColumn("common", F.filter("own_a", lambda x: F.array_contains("items_b", x["item"]))).filter(F.size("common") >= least)
+    score = F.coalesce(F.try_divide(F.aggregate("common", F.lit(0.0), lambda s, x: s + x["idf"]), F.col("weight")), F.lit(0.0))
+    found = pair.select("id_a", "id_b", F.size("common").cast("bigint").alias("shared"), F.round(score, 9).alias("overlap")).filter(F.col("overlap") >= threshold)
+    turned = F.explode(F.array(F.struct("id_a", "id_b"), F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))))
+    return found.select(turned.alias("e"), "shared", "overlap").select("e.*", "shared", "overlap")
+
+
 def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 50, at_once: int = 200_000) -> DataFrame:
     """(variant_id, primary_id): every variant is linked to its primary directly, never through others.
 

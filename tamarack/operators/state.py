@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import slugify
+from tamarack.functions.text import plain_number, slugify
 
 KEPT = ["is_favourite", "is_hidden", "variant_of_id", "created_at", "id", "last_suggested_at"]
 
@@ -70,6 +70,34 @@ def clone(rows: DataFrame, ids: DataFrame, at: datetime) -> DataFrame:
     return out.withColumns({"name": F.concat("name", F.lit(" (Custom)")), "slug": F.concat("slug", F.lit("-custom")), "is_user_created": F.lit(True), "is_favourite": F.lit(False), "is_hidden": F.lit(False), "rating_value": F.lit(None).cast("double"), "rating_count": F.lit(None).cast("int"), "variant_of_id": F.lit(None).cast("string"), "created_at": F.lit(at), "updated_at": F.lit(at)})
 
 
+def clone_children(children: DataFrame, clones: DataFrame, parent: str, key: str | None = None) -> DataFrame:
+    """Copies of the children of cloned rows under their clones (``id``, ``cloned_from_id``); ``key``, if the children have one, is made from both ids."""
+    mark = clones.select(F.col("cloned_from_id").alias(parent), F.col("id").alias("_new")).distinct()
+    out = children.join(mark, parent).withColumn(parent, F.col("_new")).drop("_new")
+    return out.withColumn(key, F.concat(F.lit("custom-"), F.substring(F.sha2(F.concat_ws("|", parent, F.col(key).cast("string")), 256), 1, 32))).select(*children.columns) if key else out.select(*children.columns)
+
+
+def delete_children(children: DataFrame, kept: DataFrame, all_parents: DataFrame, parent: str) -> DataFrame:
+    """Children without those whose parent is in ``all_parents`` but no longer in ``kept`` (both have ``id``)."""
+    gone = all_parents.select(F.col("id").alias(parent)).distinct().join(kept.select(F.col("id").alias(parent)), parent, "left_anti")
+    return children.join(gone, parent, "left_anti").select(*children.columns)
+
+
+def commit_drafts(drafts: DataFrame, taken: DataFrame, at: datetime, serving_index: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(recipes, lines) of reviewed drafts (draft_id, name, subtitle, cook_minutes, serving_counts, calories, steps, ingredients array<struct<name,quantity,unit>>).
+
+    Every draft becomes a new recipe with an id made from the draft's, a free slug, and the wanted serving count, else the first.
+    ``lines``: recipe_id, row_no, name, quantity, unit, raw_text; the text is made of what is there.
+    """
+    new_id = F.concat(F.lit("pdf-"), F.substring(F.sha2("draft_id", 256), 1, 32))
+    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.lit("Untitled recipe"))
+    rows = drafts.withColumns({"id": new_id, "name": name, "subtitle": F.nullif(F.trim("subtitle"), F.lit("")), "servings": F.coalesce(F.get("serving_counts", F.lit(serving_index)), F.get("serving_counts", F.lit(0)))})
+    recipes = rows.join(unique_slugs(rows, taken), "id").select("id", "draft_id", "slug", "name", "subtitle", "cook_minutes", "servings", "calories", "steps", F.lit(True).alias("is_browsable"), F.lit(True).alias("is_user_created"), F.lit(True).alias("is_pdf_import"), F.lit(at).alias("created_at"))
+    part = rows.select(F.col("id").alias("recipe_id"), F.posexplode("ingredients").alias("row_no", "i")).select("recipe_id", "row_no", "i.name", "i.quantity", "i.unit")
+    quantity = F.when(F.col("quantity") != 0, plain_number(F.col("quantity")))
+    return recipes, part.withColumn("raw_text", F.concat_ws(" ", quantity, F.nullif("unit", F.lit("")), F.nullif("name", F.lit(""))))
+
+
 def edit(rows: DataFrame, changes: DataFrame) -> DataFrame:
     """Fields of user-created rows replaced by those of ``changes`` (id and any columns of rows)."""
     cols = [c for c in changes.columns if c != "id"]

@@ -75,6 +75,11 @@ def combinations(pool: DataFrame, count: int = DEFAULT_COUNT, n_seeds: int = SEE
     return grown.groupBy("recipe_ids", "score").agg(F.min("seed_pos").alias("seed_pos"))
 
 
+def rested_or_all(rested: DataFrame, every: DataFrame, count: int) -> DataFrame:
+    """The pool of rested recipes, or the whole one where that has fewer than ``count``. Looks at ``count`` rows at most."""
+    return rested if rested.limit(count).count() >= count else every
+
+
 def top_disjoint(combos: DataFrame, k: int = TOP) -> DataFrame:
     """The best combinations by score (ties by seed), each sharing no recipe with a better one that is kept.
 

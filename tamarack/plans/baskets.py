@@ -39,14 +39,6 @@ def scaled_totals(spark, sf_dir):
     return basket.unit_totals(_scaled(spark, sf_dir)).select("ingredient_id", "unit", F.round("total", 6).alias("total"))
 
 
-def shopping_list(spark, sf_dir):
-    """The printable list of one plan (the least plan id)."""
-    entries = _entries(spark, sf_dir)
-    first = entries.agg(F.min("plan_id").alias("plan_id"))
-    names = table(spark, sf_dir, "ingredient").select(F.col("id").alias("ingredient_id"), "canonical_name")
-    return basket.ordered_lines(basket.shopping_lines(entries.join(F.broadcast(first), "plan_id", "left_semi"), names))
-
-
 def shopping_lists(spark, sf_dir):
     """The printable list of every plan; entries without a plan are on none."""
     names = table(spark, sf_dir, "ingredient").select(F.col("id").alias("ingredient_id"), "canonical_name")
@@ -88,9 +80,19 @@ def basket_overlaps(spark, sf_dir):
     return similarity.overlaps(similarity.multiset(sets, "recipe_id", "ingredient_ids"), sets.count(), LEAST).withColumn("overlap", F.round("overlap", 6))
 
 
-def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Recipes with their distinct ingredients, and the links between those that overlap enough."""
     sets = materialize(_sets(spark, sf_dir).withColumn("ingredient_ids", F.array_distinct("ingredient_ids")))
-    edges = similarity.overlaps(similarity.multiset(sets, "recipe_id", "ingredient_ids"), sets.count(), LEAST).filter(F.col("overlap") >= THRESHOLD)
+    return sets, similarity.similar_edges(similarity.multiset(sets, "recipe_id", "ingredient_ids"), sets.count(), THRESHOLD, LEAST)
+
+
+def variant_edges(spark, sf_dir):
+    """The links that variants come from."""
+    return _edges(spark, sf_dir)[1].withColumn("overlap", F.round("overlap", 6))
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets, edges = _edges(spark, sf_dir)
     return similarity.star_clusters(sets.select(F.col("recipe_id").alias("id"), F.col("completeness_score").alias("score")), edges)
 
 
@@ -123,11 +125,11 @@ def suggest_combos(spark, sf_dir):
 
 
 def suggest_top(spark, sf_dir):
-    """The best disjoint combinations."""
+    """The best disjoint combinations."""
     return suggest.top_disjoint(_combos(spark, sf_dir)).select("rank", F.array_join("recipe_ids", ",").alias("recipes"), "score")
 
 
-QUERIES = [shared_ingredients, unit_totals, scaled_totals, shopping_list, shopping_lists, plan_recipes, plan_marks, set_scores, idf_weights, basket_overlaps, variant_clusters, variant_sizes, variant_write_back, suggest_combos, suggest_top]
+QUERIES = [shared_ingredients, unit_totals, scaled_totals, shopping_lists, plan_recipes, plan_marks, set_scores, idf_weights, basket_overlaps, variant_edges, variant_clusters, variant_sizes, variant_write_back, suggest_combos, suggest_top]
 
 
 def queries() -> dict:
@@ -145,15 +147,18 @@ def oracle_sql() -> dict[str, str]:
         "shared_ingredients": f"WITH {E} SELECT ingredient_id, count(*) AS entries, count(DISTINCT recipe_id) AS recipe_count, count(DISTINCT recipe_id) >= 2 AS is_shared FROM e GROUP BY 1",
         "unit_totals": f"WITH {E} SELECT ingredient_id, unit, round(sum(quantity), 6) AS total FROM e WHERE quantity IS NOT NULL GROUP BY 1, 2",
         "scaled_totals": f"WITH {E}, {CUR} SELECT ingredient_id, unit, round(sum(quantity * CASE WHEN servings = 2 THEN 2 ELSE 1 END), 6) AS total FROM e LEFT JOIN cur ON cur.id = e.recipe_id WHERE quantity IS NOT NULL GROUP BY 1, 2",
-        "shopping_list": f"""WITH {E}, o AS (SELECT * FROM e WHERE plan_id = (SELECT min(plan_id) FROM e)),
-t AS (SELECT ingredient_id, unit, floor(sum(quantity) * 100 + 0.5)::BIGINT AS h FROM o WHERE quantity IS NOT NULL GROUP BY 1, 2),
-p AS (SELECT ingredient_id, string_agg({number} || CASE WHEN coalesce(unit, '') = '' THEN '' ELSE ' ' || unit END, ' + ' ORDER BY coalesce(unit, '')) AS q FROM t GROUP BY 1),
-g AS (SELECT ingredient_id, count(*) AS entries, count(DISTINCT recipe_id) AS recipe_count FROM o GROUP BY 1)
-SELECT g.ingredient_id, canonical_name, recipe_count >= 2 AS is_shared, recipe_count, upper(canonical_name[1]) || canonical_name[2:] || ' - ' || coalesce(q, 'x' || entries) AS line FROM g LEFT JOIN p USING (ingredient_id) JOIN ingredient i ON i.id = g.ingredient_id""",
+        "shopping_lists": f"""WITH {E}, o AS (SELECT * FROM e WHERE plan_id IS NOT NULL),
+t AS (SELECT plan_id, ingredient_id, unit, floor(sum(quantity) * 100 + 0.5)::BIGINT AS h FROM o WHERE quantity IS NOT NULL GROUP BY 1, 2, 3),
+p AS (SELECT plan_id, ingredient_id, string_agg({number} || CASE WHEN coalesce(unit, '') = '' THEN '' ELSE ' ' || unit END, ' + ' ORDER BY coalesce(unit, '')) AS q FROM t GROUP BY 1, 2),
+g AS (SELECT plan_id, ingredient_id, count(*) AS entries, count(DISTINCT recipe_id) AS recipe_count FROM o GROUP BY 1, 2)
+SELECT g.plan_id, g.ingredient_id, canonical_name, recipe_count >= 2 AS is_shared, recipe_count, upper(canonical_name[1]) || canonical_name[2:] || ' - ' || coalesce(q, 'x' || entries) AS line FROM g LEFT JOIN p USING (plan_id, ingredient_id) JOIN ingredient i ON i.id = g.ingredient_id""",
         "plan_recipes": f"WITH {E}, {CUR} SELECT plan_id, count(*) AS recipes, min(name) AS first_name FROM (SELECT DISTINCT plan_id, recipe_id FROM e) x JOIN cur ON cur.id = x.recipe_id GROUP BY 1",
         "plan_marks": f"WITH {E}, {CUR} SELECT id, id IN (SELECT recipe_id FROM e WHERE recipe_id IS NOT NULL) AS in_plan FROM cur",
         "set_scores": f"WITH {E} SELECT plan_id AS set_id, sum(greatest(0, k - 1))::BIGINT AS score FROM (SELECT plan_id, ingredient_id, count(DISTINCT recipe_id) AS k FROM e GROUP BY 1, 2) GROUP BY 1",
         "idf_weights": f"WITH {ITEMS} SELECT item, df, round(idf, 9) AS idf FROM w",
+        "variant_edges": f"""WITH {ITEMS}, d AS (SELECT id, item, idf FROM i JOIN w USING (item)), t AS (SELECT id, sum(idf) AS weight FROM d GROUP BY 1),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared, sum(a.idf) AS common FROM d a JOIN d b ON a.item = b.item AND a.id <> b.id GROUP BY 1, 2 HAVING count(*) >= {LEAST})
+SELECT id_a, id_b, shared, round(common / least(ta.weight, tb.weight), 6) AS overlap FROM c JOIN t ta ON ta.id = id_a JOIN t tb ON tb.id = id_b WHERE round(common / least(ta.weight, tb.weight), 9) >= {THRESHOLD}""",
         "basket_overlaps": f"""WITH {ITEMS}, x AS (SELECT i.*, idf FROM i JOIN w USING (item)), t AS (SELECT id, sum(times * idf) AS weight FROM x GROUP BY 1),
 c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared, sum(a.times * a.idf) AS common FROM x a JOIN x b ON a.item = b.item AND a.id <> b.id GROUP BY 1, 2 HAVING count(*) >= {LEAST})
 SELECT id_a, id_b, shared, round(common / least(ta.weight, tb.weight), 6) AS overlap FROM c JOIN t ta ON ta.id = id_a JOIN t tb ON tb.id = id_b""",

@@ -67,7 +67,7 @@ def flowing_steps(spark, sf_dir):
     """Running text of each page split into steps."""
     texts = _lines(spark, sf_dir).groupBy("draft_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
     texts = texts.select("draft_id", "page_no", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
-    return texts.select("draft_id", "page_no", F.posexplode(C.flowing_steps("text")).alias("pos", "step"))
+    return texts.select("draft_id", "page_no", F.posexplode(C.flowing_steps(F.array("text"))).alias("pos", "step"))
 
 
 def nutrition_texts(spark, sf_dir):
@@ -95,28 +95,34 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
-def oracle_sql() -> dict[str, str]:
+def cell_readings() -> str:
+    """SQL of ``readings``: quantity and unit of every cell."""
     from tamarack.functions.ingredients import COUNT_WORDS, FRACTIONS, UNIT_WORDS
-    from tamarack.plans.baskets import CUR
 
-    lines = "l AS (SELECT DISTINCT ON (line_id) * FROM ocr_line)"
     v = "".join(FRACTIONS)
     fraction = " ".join(f"WHEN '{c}' THEN {x!r}::DOUBLE" for c, x in FRACTIONS.items())
     known = ", ".join(f"'{u}'" for u in UNIT_WORDS)
     counts = ", ".join(f"'{u}'" for u in COUNT_WORDS)
+    return rf"""c AS (SELECT DISTINCT cell_id, raw_text, regexp_replace(regexp_replace(trim(raw_text), '(^|\s)[Yy][Aa](\s|$)', '\1½\2', 'g'), '^(\d+(?:\.\d+)?)([a-zA-Z]+)', '\1 \2') AS t FROM parsed_card_quantity),
+q AS (SELECT *, regexp_extract(t, '^(\d+(?:\.\d+)?(?:/\d+)?|\d*[{v}])\s+(.+)$', 1) AS tok, regexp_extract(t || ' placeholder', '^(\d+(?:\.\d+)?(?:/\d+)?|\d*[{v}])\s+(.+)$', 1) AS tok2, regexp_extract(t || ' placeholder', '^(\d+(?:\.\d+)?(?:/\d+)?|\d*[{v}])\s+(.+)$', 2) AS tail FROM c),
+a AS (SELECT *, CASE WHEN coalesce(raw_text, '') = '' THEN NULL WHEN regexp_matches(tok2, '^\d+/\d+$') THEN split_part(tok2, '/', 1)::DOUBLE / nullif(split_part(tok2, '/', 2)::DOUBLE, 0) WHEN regexp_matches(tok2, '^\d*[{v}]$') THEN coalesce(try_cast(left(tok2, length(tok2) - 1) AS DOUBLE), 0) + CASE right(tok2, 1) {fraction} END WHEN regexp_matches(tok2, '^\d+(\.\d+)?$') THEN tok2::DOUBLE END AS quantity FROM q),
+r AS (SELECT *, CASE WHEN quantity IS NULL THEN t || ' placeholder' ELSE tail END AS rest FROM a),
+u AS (SELECT *, lower(regexp_extract(rest, '^(\S+\s+\S+)\s+(.+)$', 1)) AS u2, lower(regexp_extract(rest, '^(\S+)\s+(.+)$', 1)) AS u1 FROM r),
+p AS (SELECT *, CASE WHEN coalesce(raw_text, '') = '' THEN NULL WHEN quantity IS NOT NULL AND u2 IN ({known}) THEN u2 WHEN u1 IN ({known}) THEN u1 END AS unit FROM u),
+readings AS (SELECT cell_id, quantity, CASE WHEN unit NOT IN ({counts}) THEN unit END AS unit FROM p)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    from tamarack.plans.baskets import CUR
+
+    lines = "l AS (SELECT DISTINCT ON (line_id) * FROM ocr_line)"
     region = "SELECT draft_id, page_no, min(baseline.x0 / 1000) AS l, min(y / 1000) AS t, max(baseline.x0 / 1000 + (baseline.x1 - baseline.x0) / 1000) AS r, max(y / 1000 + 0.02::DOUBLE) AS b FROM l WHERE baseline IS NOT NULL GROUP BY 1, 2"
     return {
         "page_skew": f"WITH {lines}, a AS (SELECT draft_id, page_no, CASE WHEN baseline.x1 - baseline.x0 >= 80 THEN degrees(atan2(baseline.y1 - baseline.y0, baseline.x1 - baseline.x0)) END AS a FROM l) SELECT draft_id, page_no, round(coalesce(median(a), 0), 6) AS angle, abs(coalesce(median(a), 0)) >= 0.3 AS rotate FROM a GROUP BY 1, 2",
         "line_headings": rf"WITH {lines}, h AS (SELECT line_id, CASE WHEN regexp_matches(text, '^\d+[.)]?\s+(.+)$') THEN regexp_extract(text, '^\d+[.)]?\s+(.+)$', 1) WHEN length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) >= 3 AND regexp_replace(text, '[^a-zA-Z]', '', 'g') = upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')) THEN text END AS heading FROM l) SELECT * FROM h WHERE heading IS NOT NULL",
         "page_regions": f"WITH {lines}, u AS ({region}) SELECT draft_id, page_no, round(l, 6) AS left, round(t, 6) AS top, round(r - l, 6) AS width, round(b - t, 6) AS height, round(greatest(0, least(l + (r - l) / 10, 1 - (r - l))), 6) AS shifted FROM u",
         "serves_anchor": f"WITH {lines}, d AS (SELECT draft_id, page_no, text, sqrt((baseline.x0 - 50) ** 2 + (y - 800) ** 2) AS d FROM l WHERE baseline IS NOT NULL AND contains(lower(text), 'serves')) SELECT draft_id, page_no, text, round(d, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY draft_id, page_no ORDER BY d, text) = 1",
-        "quantity_cells": rf"""WITH c AS (SELECT DISTINCT cell_id, raw_text, regexp_replace(regexp_replace(trim(raw_text), '(^|\s)[Yy][Aa](\s|$)', '\1½\2', 'g'), '^(\d+(?:\.\d+)?)([a-zA-Z]+)', '\1 \2') AS t FROM parsed_card_quantity),
-q AS (SELECT *, regexp_extract(t, '^(\d+(?:\.\d+)?(?:/\d+)?|\d*[{v}])\s+(.+)$', 1) AS tok, regexp_extract(t || ' placeholder', '^(\d+(?:\.\d+)?(?:/\d+)?|\d*[{v}])\s+(.+)$', 1) AS tok2, regexp_extract(t || ' placeholder', '^(\d+(?:\.\d+)?(?:/\d+)?|\d*[{v}])\s+(.+)$', 2) AS tail FROM c),
-a AS (SELECT *, CASE WHEN coalesce(raw_text, '') = '' THEN NULL WHEN regexp_matches(tok2, '^\d+/\d+$') THEN split_part(tok2, '/', 1)::DOUBLE / nullif(split_part(tok2, '/', 2)::DOUBLE, 0) WHEN regexp_matches(tok2, '^\d*[{v}]$') THEN coalesce(try_cast(left(tok2, length(tok2) - 1) AS DOUBLE), 0) + CASE right(tok2, 1) {fraction} END WHEN regexp_matches(tok2, '^\d+(\.\d+)?$') THEN tok2::DOUBLE END AS quantity FROM q),
-r AS (SELECT *, CASE WHEN quantity IS NULL THEN t || ' placeholder' ELSE tail END AS rest FROM a),
-u AS (SELECT *, lower(regexp_extract(rest, '^(\S+\s+\S+)\s+(.+)$', 1)) AS u2, lower(regexp_extract(rest, '^(\S+)\s+(.+)$', 1)) AS u1 FROM r),
-p AS (SELECT *, CASE WHEN coalesce(raw_text, '') = '' THEN NULL WHEN quantity IS NOT NULL AND u2 IN ({known}) THEN u2 WHEN u1 IN ({known}) THEN u1 END AS unit FROM u)
-SELECT cell_id, quantity, CASE WHEN unit NOT IN ({counts}) THEN unit END AS unit FROM p""",
+        "quantity_cells": f"WITH {cell_readings()} SELECT cell_id, quantity, unit FROM readings",
         "step_times": r"WITH s AS (SELECT DISTINCT step_id, try_cast(coalesce(nullif(regexp_extract(text, '(?i)total time:?\s*(\d+)', 1), ''), nullif(regexp_extract(text, '(?i)(\d+)\s*-?\s*(?:\d+\s*)?min', 1), '')) AS INTEGER) AS minutes FROM parsed_card_step) SELECT * FROM s WHERE minutes IS NOT NULL",
         "nutrition_texts": f"WITH {CUR} SELECT id, calories, fat_grams AS fat, saturated_fat_grams AS saturated, salt_grams AS salt, CASE WHEN calories >= 50 THEN calories END AS kcal FROM cur WHERE calories IS NOT NULL AND fat_grams IS NOT NULL AND saturated_fat_grams IS NOT NULL AND salt_grams IS NOT NULL",
     }

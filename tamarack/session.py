@@ -39,20 +39,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset, as in
-    tests on one machine, a temporary folder is used.
+    ``spark.checkpoint.dir`` is read from the session. Only on a local master, as in tests, may it
+    be unset: a temporary folder of this machine is used then.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tamarack-"))
     return df.checkpoint(eager=True)
 
 
-def small_or_join(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
-    """``broadcast(df)`` if the optimizer's own size estimate proves it is small, else df as it is."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit_bytes else df
+def small_or_join(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``broadcast(df)`` if it has no more than ``most_rows`` rows, which are counted, else df as it is. For narrow tables that are cheap to read."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
 def newest(df: DataFrame, key: str, *order: Column) -> DataFrame:

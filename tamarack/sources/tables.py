@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,21 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("m").alias("url", "e")).select("url", "e.lastmod", F.col("e.scrapedAt").alias("scraped_at"), "e.status", "e.error")
 
 
+def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Manifest rows with those of ``new`` put in the place of old ones of the same url; of repeated new ones the one scraped last counts."""
+    last = new.groupBy("url").agg(F.max_by(F.struct("lastmod", "scraped_at", "status", "error"), F.struct("scraped_at", "status")).alias("e")).select("url", "e.*")
+    return old.join(last.select("url"), "url", "left_anti").unionByName(last)
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """One version of the manifest as lines of JSON, which large ones need; ``manifest_lines`` reads it."""
+    rows.select("url", "lastmod", "scraped_at", "status", "error").write.mode("overwrite").json(path)
+
+
+def manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("url string, lastmod string, scraped_at string, status string, error string").json(path)
+
+
 def cached_pages(spark: SparkSession, path: str) -> DataFrame:
     """(file, html) of a folder of cached pages; large folders should be packed into Parquet by ``write_pages``."""
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.col("value").alias("html"))
@@ -52,6 +69,134 @@ def restore(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataF
     return {n: spark.read.parquet(f"{path}/{n}.parquet") for n in names}
 
 
+# Content types of image files.
+CONTENT_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp"}
+
+
+def image_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content, content_type) of all image files below a folder; a type that is not known is PNG."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    types = F.create_map(*[F.lit(x) for kv in CONTENT_TYPES.items() for x in kv])
+    return files.select("path", "content", F.coalesce(F.try_element_at(types, F.lower(F.substring_index("path", ".", -1))), F.lit("image/png")).alias("content_type"))
+
+
+def draft_images(drafts: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """(draft_id, step_no, image_url, text_url): addresses of a draft's step images, null where the file is not there.
+
+    ``drafts``: draft_id, steps (their number); ``files``: draft_id, file (names in the draft's folder).
+    """
+    step = drafts.filter("steps > 0").select("draft_id", F.explode(F.sequence(F.lit(1), F.col("steps").cast("int"))).alias("step_no"))
+    names = files.select("draft_id", F.col("file")).distinct()
+
+    def there(rows: DataFrame, suffix: str, out: str) -> DataFrame:
+        found = names.withColumnRenamed("file", "_file")
+        rows = rows.withColumn("_file", F.concat(F.lit("step-"), F.col("step_no").cast("string"), F.lit(f"{suffix}.png")))
+        marked = rows.join(found.withColumn("_there", F.lit(True)), ["draft_id", "_file"], "left")
+        return marked.withColumn(out, F.when(F.col("_there"), F.concat_ws("/", F.lit(root), "draft_id", "_file"))).drop("_there", "_file")
+
+    return there(there(step, "", "image_url"), "-text", "text_url").select("draft_id", "step_no", "image_url", "text_url")
+
+
+def step_presence(files: DataFrame) -> DataFrame:
+    """(draft_id, last_step, present): greatest number of a step image and the set of those there, rising."""
+    no = F.regexp_extract("file", r"^step-(\d+)\.png$", 1).try_cast("int")
+    return files.select("draft_id", no.alias("n")).filter("n is not null").groupBy("draft_id").agg(F.max("n").alias("last_step"), F.array_sort(F.collect_set("n")).alias("present"))
+
+
+def rendered_pages(files: DataFrame, render) -> DataFrame:
+    """(path, page_no, image) of documents (path, content); ``render`` makes the images of all pages of one document's bytes."""
+
+    def run(parts):
+        for part in parts:
+            rows = [(p, n, i) for p, c in zip(part["path"], part["content"], strict=True) for n, i in enumerate(render(c), 1)]
+            yield pd.DataFrame(rows, columns=["path", "page_no", "image"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page_no int, image binary")
+
+
+def ocr_lines(crops: DataFrame, make_engine) -> DataFrame:
+    """Lines of crops (crop_id, image): (crop_id, line_no, text, y, baseline, red).
+
+    ``make_engine()`` makes one engine for each Python worker, a function from image bytes to lines
+    (text, y0, y1, baseline (x0, y0, x1, y1) or None). Blank lines are left out, a baseline without width is null, y is the middle.
+    """
+
+    def run(parts):
+        engine = make_engine()
+        for part in parts:
+            rows = []
+            for crop, image in zip(part["crop_id"], part["image"], strict=True):
+                lines = [(t.strip(), y0, y1, b) for t, y0, y1, b in engine(image) if t and t.strip()]
+                for n, (text, y0, y1, b) in enumerate(lines):
+                    base = dict(zip(("x0", "y0", "x1", "y1"), map(float, b), strict=True)) if b is not None and b[2] > b[0] else None
+                    rows.append((crop, n, text, (y0 + y1) / 2, base, is_red(image, base)))
+            yield pd.DataFrame(rows, columns=["crop_id", "line_no", "text", "y", "baseline", "red"])
+
+    return crops.select("crop_id", "image").mapInPandas(run, "crop_id string, line_no int, text string, y double, baseline struct<x0: double, y0: double, x1: double, y1: double>, red boolean")
+
+
+# How far the mean red of a line's box must lie above green and blue; least height of a line.
+RED_LEAD, LEAST_HEIGHT = 15, 4
+
+
+def pixels(image: bytes) -> np.ndarray | None:
+    """(height, width, 3) of a PNG of 8 bits a channel without interlacing, grey, RGB or either with alpha; None for anything else."""
+    if image[:8] != b"\x89PNG\r\n\x1a\n":
+        return None
+    at, data, head = 8, [], None
+    while at + 8 <= len(image):
+        n, kind = struct.unpack(">I4s", image[at : at + 8])
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", image[at + 8 : at + 21])
+        elif kind == b"IDAT":
+            data.append(image[at + 8 : at + 8 + n])
+        at += 12 + n
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(head[3]) if head else None
+    if channels is None or head[2] != 8 or head[6]:
+        return None
+    width, height = head[:2]
+    rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, 1 + width * channels)
+    out = np.zeros((height, width, channels), np.uint8)
+    above = np.zeros((width, channels), np.uint8)
+    for y in range(height):
+        line = rows[y, 1:].reshape(width, channels)
+        if rows[y, 0] == 0:
+            out[y] = line
+        elif rows[y, 0] == 1:
+            out[y] = np.cumsum(line, axis=0, dtype=np.uint8)
+        elif rows[y, 0] == 2:
+            out[y] = line + above
+        else:
+            left, corner = np.zeros(channels, np.int32), np.zeros(channels, np.int32)
+            for x in range(width):
+                up = above[x].astype(np.int32)
+                if rows[y, 0] == 3:
+                    guess = (left + up) // 2
+                else:
+                    p = left + up - corner
+                    a, b, c = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                left, corner = (line[x] + guess) & 255, up
+                out[y, x] = left
+        above = out[y]
+    colour = out[:, :, :1] if channels < 3 else out[:, :, :3]
+    return np.repeat(colour, 3, axis=2) if channels < 3 else colour
+
+
+def is_red(image: bytes, baseline: dict | None) -> bool:
+    """Whether the box around a line is printed in red: its mean red leads green and blue. The box is twice the line's height; false without baseline or pixels."""
+    picture = pixels(image) if baseline is not None and image else None
+    if picture is None:
+        return False
+    high = max(LEAST_HEIGHT, baseline["y1"] - baseline["y0"])
+    left, top = max(0, round(baseline["x0"])), max(0, round(baseline["y0"] - high))
+    box = picture[top : top + max(1, round(2 * high)), left : left + max(1, round(baseline["x1"] - baseline["x0"]))]
+    if not box.size:
+        return False
+    r, g, b = box.reshape(-1, 3).mean(axis=0)
+    return bool(r - g > RED_LEAD and r - b > RED_LEAD)
+
+
 def write_list(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
 
