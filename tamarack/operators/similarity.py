@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from graphlib import TopologicalSorter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.session import materialize
@@ -52,23 +52,36 @@ def overlaps(items: DataFrame, recipes: int, least: int = 6) -> DataFrame:
 def similar_edges(items: DataFrame, recipes: int, threshold: float, least: int = 6) -> DataFrame:
     """(id_a, id_b, shared, overlap): both directions of all pairs of lists without repeats whose overlap reaches ``threshold``.
 
-    The same scores as ``overlaps``, from far fewer candidates. If the lighter list of a pair reaches the
-    threshold, the rarest item that both have stands where the weight from there on still makes up that share
-    of the list; so of the lighter list only the few rarest items are looked up in the prefixes of the others.
+    The same scores as ``overlaps``, from far fewer candidates. Lists meet by the two rarest items that both
+    have. If the lighter list of a pair reaches the threshold, the first of these with all from the second
+    on still makes up that share of its weight, so only the rarest few items of a list can be these two;
+    of the heavier list they can be any but the last ``least`` - 2. Two items seldom stand together, so few
+    unrelated lists meet. Posted rows grow with the square of a list's length.
     """
+    if least < 2:
+        raise ValueError("lists meet by two items")
     order = Window.partitionBy("id").orderBy("df", "item")
     rows = items.filter("times = 1").join(weights(items, recipes), "item")
-    whole = Window.partitionBy("id")
-    ranked = rows.select("id", "item", "idf", F.row_number().over(order).alias("rank"), F.count("*").over(whole).alias("n"), F.sum("idf").over(whole).alias("weight"), F.sum("idf").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("rest"))
-    ranked = materialize(ranked.filter(F.col("n") >= least))
-    prefix = ranked.filter(F.col("rank") <= F.col("n") - least + 1)
-    light = prefix.filter(F.col("rest") >= (threshold - 1e-6) * F.col("weight")).select(F.col("id").alias("id_a"), "item", F.col("weight").alias("w_a"))
-    heavy = prefix.select(F.col("id").alias("id_b"), "item", F.col("weight").alias("w_b"))
-    lighter = (F.col("w_a") < F.col("w_b")) | ((F.col("w_a") == F.col("w_b")) & (F.col("id_a") < F.col("id_b")))
-    met = light.join(heavy, "item").filter(lighter).select("id_a", "id_b").distinct()
-    lists = ranked.groupBy("id").agg(F.collect_list(F.struct("item", "idf")).alias("own"), F.first("weight").alias("weight"))
-    pair = met.join(lists.select(F.col("id").alias("id_a"), F.col("own").alias("own_a"), "weight"), "id_a").join(lists.select(F.col("id").alias("id_b"), F.transform("own", lambda x: x["item"]).alias("items_b")), "id_b")
-    pair = pair.withColumn("common", F.filter("own_a", lambda x: F.array_contains("items_b", x["item"]))).filter(F.size("common") >= least)
+    ranked = rows.select("id", "item", "idf", F.row_number().over(order).alias("rank"), F.sum("idf").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("rest"))
+    lists = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", F.xxhash64("item").alias("item"), "idf", "rest"))).alias("own")).filter(F.size("own") >= least)
+    # Checkpointed, so the running numbers, far shorter than ids, stay what they are if an executor is lost.
+    lists = materialize(lists.select(F.monotonically_increasing_id().alias("k"), "id", "own", F.get("own", F.lit(0))["rest"].alias("weight")))
+    n = F.size("own")
+    first = F.slice("own", 1, n - least + 1)
+    two = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice("own", i + 2, n - least + 1 - i), lambda y: F.struct(F.xxhash64(x["item"], y["item"]).alias("key"), (x["idf"] + y["rest"]).alias("reach")))))
+    bound = F.lit(threshold - 1e-6)
+    light = F.filter(two, lambda t: t["reach"] >= bound * F.col("weight"))
+
+    def posted(pairs: Column, x: str) -> DataFrame:
+        one = lists.select("k", "weight", F.explode(pairs).alias("t"))
+        return one.select(F.col("t.key").alias("key"), F.col("k").alias(f"k_{x}"), F.col("weight").alias(f"w_{x}"), F.col("t.reach").alias(f"reach_{x}"))
+
+    lighter = (F.col("w_a") < F.col("w_b")) | ((F.col("w_a") == F.col("w_b")) & (F.col("k_a") < F.col("k_b")))
+    # Merge joins by hint: the planner's estimate does not count exploded rows.
+    met = posted(light, "a").hint("merge").join(posted(two, "b").hint("merge"), "key").filter(lighter & (F.col("reach_b") >= bound * F.col("w_a"))).select("k_a", "k_b").distinct()
+    a = lists.select(F.col("k").alias("k_a"), F.col("id").alias("id_a"), F.col("own").alias("own_a"), "weight")
+    b = lists.select(F.col("k").alias("k_b"), F.col("id").alias("id_b"), F.transform("own", lambda x: x["item"]).alias("items_b"))
+    pair = met.join(a.hint("merge"), "k_a").join(b.hint("merge"), "k_b").withColumn("common", F.filter("own_a", lambda x: F.array_contains("items_b", x["item"]))).filter(F.size("common") >= least)
     score = F.coalesce(F.try_divide(F.aggregate("common", F.lit(0.0), lambda s, x: s + x["idf"]), F.col("weight")), F.lit(0.0))
     found = pair.select("id_a", "id_b", F.size("common").cast("bigint").alias("shared"), F.round(score, 9).alias("overlap")).filter(F.col("overlap") >= threshold)
     turned = F.explode(F.array(F.struct("id_a", "id_b"), F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))))
