@@ -76,6 +76,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def numbered(df: DataFrame, *order: str, name: str = "seq") -> tuple[DataFrame, int]:
+    """Rows numbered from 0 in this order over the whole cluster, and how many there are.
+
+    Range partitions are sorted and checkpointed, so the numbers stay what they are if an executor is lost; what
+    reaches the driver is one row for each partition. Name enough columns that no value of all of them is too frequent.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    offsets, total = [], 0
+    for r in sorted(placed.groupBy("_part").count().collect()):
+        offsets.append((r["_part"], total))
+        total += r["count"]
+    starts = spark.createDataFrame(offsets, "_part bigint, _offset bigint")
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_offset") + F.col("_at")).drop("_part", "_offset", "_at"), total
+
+
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """Rows partitioned by these columns into a fixed number of partitions.
 
