@@ -55,13 +55,12 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
-    """A tiktoken encoding read from a rank file; one for each Python worker."""
+def encoder(ranks: bytes):
+    """A tiktoken encoding of the content of a rank file; one for each Python worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    parsed = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=parsed, special_tokens={})
 
 
 def source_key(source: Column) -> Column:
@@ -122,12 +121,14 @@ def memberships(documents: DataFrame, domains: list[str], model: tuple[np.ndarra
 
     One pass over the texts; neither they nor their words are shuffled.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    # The file is read on the driver only.
+    with open(tokenizer, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast((*model, f.read()))
     at = {d: k for k, d in enumerate(domains)}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
-        prior, words = shared.value
+        prior, words, ranks = shared.value
+        enc = encoder(ranks)
         own = np.eye(len(domains))
         none = np.zeros(len(domains))
         for part in parts:

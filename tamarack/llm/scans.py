@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.canonical import CONTAINERS
 from tamarack.operators.units import UNITS
-from tamarack.session import by_key, materialize
+from tamarack.session import by_key, materialize, numbered
 
 BLOCK, CONTEXT = 4096, 128
 LEAST_SHOWN = 8
@@ -551,23 +551,14 @@ def _defects(pdf: pd.DataFrame, labels: list[str], patterns: list[str], lexicon:
 
 def in_blocks(lines: DataFrame, size: int = BLOCK, context: int = CONTEXT) -> DataFrame:
     """Lines with ``seq``, their place in reading order over all drafts, once for each ``block`` of ``size`` lines that they are in or, with ``context`` set, near to."""
-    spark = lines.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    order = ["kind", "draft", "page", "line", "record_id"]
     # Range partitions share out a hot draft too, as the id is the last key.
-    placed = materialize(lines.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
-    placed = placed.withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
-    offsets, total = [], 0
-    for r in sorted(placed.groupBy("part").count().collect()):  # one row for each partition
-        offsets.append((r["part"], total))
-        total += r["count"]
-    numbered = placed.join(F.broadcast(spark.createDataFrame(offsets, "part bigint, offset bigint")), "part").withColumn("seq", F.col("offset") + F.col("at")).drop("part", "offset", "at")
+    rows, total = numbered(lines, "kind", "draft", "page", "line", "record_id")
 
     def block(seq: Column) -> Column:
         return F.floor(seq / size).cast("bigint")
 
     near = F.array_distinct(F.array(*[block(F.col("seq") + d) for d in (0, -context, context)]))
-    rows = numbered.withColumn("block", F.explode(F.filter(near, lambda b: (b >= 0) & (b <= (max(total, 1) - 1) // size))))
+    rows = rows.withColumn("block", F.explode(F.filter(near, lambda b: (b >= 0) & (b <= (max(total, 1) - 1) // size))))
     return rows.withColumn("context", F.col("block") != block(F.col("seq")))
 
 

@@ -10,10 +10,12 @@ ratios with the Haldane-Anscombe continuity correction.
 Pruning is exact: a pair occurs no more often than its rarer item, so items below the least
 pair count are left out before any pair is made. With a least share of all records the number
 of items left is at most (mean distinct items of a record) / (least share), whatever the size
-of the data; that bound is checked before the codes are broadcast.
+of the data. Codes are numbers in order over the whole cluster; they are broadcast if their count
+allows, else joined.
 
 A pair code carries everything about its pair, so a hot item spreads over as many partitions
-as it has partners, and counts are combined before the shuffle.
+as it has partners, and counts are combined before the shuffle. The items of a record with more than
+``LONG`` of them are dealt into that many groups of about ``LONG``, and each pair of groups is a task's work of its own.
 
 Defined results: a null record id or a null item is ignored; a record counts once for each
 item however often it repeats it; rows of one record are taken together; empty and null lists
@@ -27,12 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.session import materialize, small_or_join, spread
+from tamarack.session import materialize, numbered, small_or_join, spread
 
 BUFFER = 1 << 21  # pair codes that a task sorts at once, 16 MB
+LONG = 4096  # items of a record whose pairs are made at once
 
 
 def record_items(df: DataFrame, record_col: str, items_col: str) -> DataFrame:
@@ -70,23 +73,35 @@ def _record_codes(items: np.ndarray, most: int) -> Iterator[np.ndarray]:
         i += rows
 
 
+def _cross_codes(a: np.ndarray, b: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Packed codes of all pairs of one item of each group, in pieces of about ``most``."""
+    a, b = a.astype(np.int64)[:, None], b.astype(np.int64)[None, :]
+    rows = max(1, most // max(1, b.shape[1]))
+    for i in range(0, len(a), rows):
+        yield ((np.minimum(a[i : i + rows], b) << 32) | np.maximum(a[i : i + rows], b)).ravel()
+
+
 def _pair_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted runs of the pair codes of lists, or of two lists (``codes`` and ``others``) that share no item."""
     buffer: list[np.ndarray] = []
     size = 0
+
+    def batch() -> pa.RecordBatch:
+        code, n = _runs(np.concatenate(buffer))
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+
     for part in parts:
-        column = part.column(0)
-        values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-        for k in range(len(column)):
-            for codes in _record_codes(values[offsets[k] : offsets[k + 1]], BUFFER):
+        lists = [(c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in part.columns]
+        for k in range(part.num_rows):
+            own = [v[o[k] : o[k + 1]] for v, o in lists]
+            for codes in _record_codes(own[0], BUFFER) if len(own) == 1 or not len(own[1]) else _cross_codes(*own, BUFFER):
                 buffer.append(codes)
                 size += len(codes)
                 if size >= BUFFER:
-                    code, n = _runs(np.concatenate(buffer))
-                    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+                    yield batch()
                     buffer, size = [], 0
     if buffer:
-        code, n = _runs(np.concatenate(buffer))
-        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+        yield batch()
 
 
 def _merge_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,28 +123,43 @@ def _merge_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(last)], pa.int64()), pa.array([int(count)], pa.int64())], names=["code", "n"])
 
 
-def together(df: DataFrame, record_col: str = "recipe_id", items_col: str = "ingredient_ids", least: int = 6, least_share: tuple[int, int] = (1, 500), max_items: int = 1 << 22) -> DataFrame:
+def pair_runs(coded: DataFrame, long: int = LONG) -> DataFrame:
+    """(code, n): sorted runs of the pair codes of (record, code)."""
+    schema = "code bigint, n bigint"
+    sizes = coded.groupBy("record").agg(F.count("*").alias("size")).filter(F.col("size") > long)
+    sizes = materialize(sizes)
+    if sizes.isEmpty():
+        return coded.groupBy("record").agg(F.collect_list("code").alias("codes")).select("codes").filter(F.size("codes") > 1).mapInArrow(_pair_runs, schema)
+    short = pair_runs(coded.join(sizes, "record", "left_anti"), 1 << 62) if long < 1 << 62 else coded
+    groups = F.ceil(F.col("size") / long).cast("int")
+    dealt = coded.join(sizes, "record").select("record", "code", groups.alias("groups"), F.pmod(F.xxhash64("code"), groups).cast("int").alias("own"))
+    each = dealt.select("record", "code", "own", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    blocks = each.groupBy("record", low.alias("low"), high.alias("high")).agg(F.collect_list(F.when(F.col("own") == F.least("own", "other"), F.col("code"))).alias("codes"), F.collect_list(F.when(F.col("own") != F.least("own", "other"), F.col("code"))).alias("others"))
+    # A block of one group has no others: its pairs are those within. A block of two needs items on both sides.
+    blocks = blocks.filter("low = high or (size(codes) > 0 and size(others) > 0)")
+    return short.unionByName(blocks.select("codes", "others").mapInArrow(_pair_runs, schema))
+
+
+def together(df: DataFrame, record_col: str = "recipe_id", items_col: str = "ingredient_ids", least: int = 6, least_share: tuple[int, int] = (1, 500), long: int = LONG) -> DataFrame:
     """(item_a, item_b, n_ab, n_a, n_b, n): all pairs with n_ab >= least and n_ab >= n * least_share.
 
-    ``least_share`` is an exact fraction. Raises ValueError if more than ``max_items`` items remain after
-    pruning, which only a least share near zero can cause.
+    ``least_share`` is an exact fraction. Raises ValueError if the items left after pruning have no 31-bit codes.
     """
     p, q = least_share
     # Empty lists count, so the number of records comes from all rows.
     n = df.select(F.count_distinct(F.col(f"`{record_col}`").cast("string"))).first()[0]
     pairs = materialize(record_items(spread(df), record_col, items_col))
     frequent = pairs.groupBy("item").agg(F.count("*").alias("n_item")).filter((F.col("n_item") >= least) & (F.col("n_item") * q >= F.lit(n) * p))
-    kept = frequent.count()
-    if kept > max_items:
+    items, kept = numbered(frequent, "item", name="code")
+    if kept >= 1 << 31:
         raise ValueError(f"{kept} items remain; raise the least share")
-    # A table of bounded size, so a window without partitions is safe.
-    items = materialize(frequent.withColumn("code", F.row_number().over(Window.orderBy("item")) - 1))
-    coded = pairs.join(small_or_join(items.select("item", "code")), "item").groupBy("record").agg(F.collect_list("code").alias("codes"))
-    runs = coded.select("codes").filter(F.size("codes") > 1).mapInArrow(_pair_runs, "code bigint, n bigint")
+    items = materialize(items)
+    runs = pair_runs(pairs.join(small_or_join(items.select("item", "code")), "item").select("record", "code"), long)
     merged = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merge_runs, "code bigint, n_ab bigint")
     merged = merged.filter((F.col("n_ab") >= least) & (F.col("n_ab") * q >= F.lit(n) * p))
     side = {x: small_or_join(items.select(F.col("code").alias(f"code_{x}"), F.col("item").alias(f"item_{x}"), F.col("n_item").alias(f"n_{x}"))) for x in "ab"}
-    out = merged.withColumns({"code_a": F.shiftright("code", 32).cast("int"), "code_b": F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")})
+    out = merged.withColumns({"code_a": F.shiftright("code", 32), "code_b": F.col("code").bitwiseAND(F.lit((1 << 32) - 1))})
     return out.join(side["a"], "code_a").join(side["b"], "code_b").select("item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(n).cast("bigint").alias("n"))
 
 

@@ -31,8 +31,8 @@ def sets_of(rows):
     return out
 
 
-@pytest.mark.parametrize("least,share", [(2, (0, 1)), (6, (1, 30))])
-def test_pairs_like_brute_force(spark, least, share):
+@pytest.mark.parametrize("least,share,long", [(2, (0, 1), 4096), (6, (1, 30), 4096), (2, (0, 1), 5), (1, (0, 1), 1)])
+def test_pairs_like_brute_force(spark, least, share, long):
     rows = baskets()
     sets = sets_of(rows)
     n, one, two = len(sets), {}, {}
@@ -42,7 +42,7 @@ def test_pairs_like_brute_force(spark, least, share):
         for p in itertools.combinations(sorted(s), 2):
             two[p] = two.get(p, 0) + 1
     want = {(a, b): (k, one[a], one[b], n) for (a, b), k in two.items() if k >= least and k * share[1] >= n * share[0]}
-    out = together.together(frame(spark, rows), least=least, least_share=share).collect()
+    out = together.together(frame(spark, rows), least=least, least_share=share, long=long).collect()
     assert {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in out} == want
 
 
