@@ -123,14 +123,18 @@ def _merge_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(last)], pa.int64()), pa.array([int(count)], pa.int64())], names=["code", "n"])
 
 
+RUNS = "code bigint, n bigint"
+
+
+def short_runs(coded: DataFrame) -> DataFrame:
+    """(code, n): sorted runs of the pair codes of (record, code), for records of bounded length."""
+    return coded.groupBy("record").agg(F.collect_list("code").alias("codes")).select("codes").filter(F.size("codes") > 1).mapInArrow(_pair_runs, RUNS)
+
+
 def pair_runs(coded: DataFrame, long: int = LONG) -> DataFrame:
-    """(code, n): sorted runs of the pair codes of (record, code)."""
-    schema = "code bigint, n bigint"
-    sizes = coded.groupBy("record").agg(F.count("*").alias("size")).filter(F.col("size") > long)
-    sizes = materialize(sizes)
-    if sizes.isEmpty():
-        return coded.groupBy("record").agg(F.collect_list("code").alias("codes")).select("codes").filter(F.size("codes") > 1).mapInArrow(_pair_runs, schema)
-    short = pair_runs(coded.join(sizes, "record", "left_anti"), 1 << 62) if long < 1 << 62 else coded
+    """The same for records of any length."""
+    sizes = materialize(coded.groupBy("record").agg(F.count("*").alias("size")).filter(F.col("size") > long))
+    short = short_runs(coded.join(sizes, "record", "left_anti"))
     groups = F.ceil(F.col("size") / long).cast("int")
     dealt = coded.join(sizes, "record").select("record", "code", groups.alias("groups"), F.pmod(F.xxhash64("code"), groups).cast("int").alias("own"))
     each = dealt.select("record", "code", "own", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other"))
@@ -138,7 +142,7 @@ def pair_runs(coded: DataFrame, long: int = LONG) -> DataFrame:
     blocks = each.groupBy("record", low.alias("low"), high.alias("high")).agg(F.collect_list(F.when(F.col("own") == F.least("own", "other"), F.col("code"))).alias("codes"), F.collect_list(F.when(F.col("own") != F.least("own", "other"), F.col("code"))).alias("others"))
     # A block of one group has no others: its pairs are those within. A block of two needs items on both sides.
     blocks = blocks.filter("low = high or (size(codes) > 0 and size(others) > 0)")
-    return short.unionByName(blocks.select("codes", "others").mapInArrow(_pair_runs, schema))
+    return short.unionByName(blocks.select("codes", "others").mapInArrow(_pair_runs, RUNS))
 
 
 def together(df: DataFrame, record_col: str = "recipe_id", items_col: str = "ingredient_ids", least: int = 6, least_share: tuple[int, int] = (1, 500), long: int = LONG) -> DataFrame:
@@ -147,15 +151,17 @@ def together(df: DataFrame, record_col: str = "recipe_id", items_col: str = "ing
     ``least_share`` is an exact fraction. Raises ValueError if the items left after pruning have no 31-bit codes.
     """
     p, q = least_share
-    # Empty lists count, so the number of records comes from all rows.
-    n = df.select(F.count_distinct(F.col(f"`{record_col}`").cast("string"))).first()[0]
+    # Empty lists count, so the number of records comes from all rows; so does a bound of a record's number of items.
+    records = df.groupBy(F.col(f"`{record_col}`").cast("string").alias("record")).agg(F.sum(F.size(F.col(f"`{items_col}`"))).alias("size")).filter("record is not null")
+    n, most = records.agg(F.count("*"), F.max("size")).first()
     pairs = materialize(record_items(spread(df), record_col, items_col))
     frequent = pairs.groupBy("item").agg(F.count("*").alias("n_item")).filter((F.col("n_item") >= least) & (F.col("n_item") * q >= F.lit(n) * p))
     items, kept = numbered(frequent, "item", name="code")
     if kept >= 1 << 31:
         raise ValueError(f"{kept} items remain; raise the least share")
     items = materialize(items)
-    runs = pair_runs(pairs.join(small_or_join(items.select("item", "code")), "item").select("record", "code"), long)
+    coded = pairs.join(small_or_join(items.select("item", "code")), "item").select("record", "code")
+    runs = pair_runs(coded, long) if (most or 0) > long else short_runs(coded)
     merged = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merge_runs, "code bigint, n_ab bigint")
     merged = merged.filter((F.col("n_ab") >= least) & (F.col("n_ab") * q >= F.lit(n) * p))
     side = {x: small_or_join(items.select(F.col("code").alias(f"code_{x}"), F.col("item").alias(f"item_{x}"), F.col("n_item").alias(f"n_{x}"))) for x in "ab"}
