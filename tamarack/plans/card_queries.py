@@ -19,6 +19,7 @@ from tamarack.plans.catalog import AS_OF, CUR, FILTER
 from tamarack.plans.pages import _manifest
 from tamarack.plans.scanned import cell_readings
 from tamarack.session import table
+from tamarack.sources import schemas
 from tamarack.sources import tables as files
 
 LINES = f"array<{R.LINE}>"
@@ -221,6 +222,18 @@ def draft_images(spark, sf_dir):
     return files.draft_images(*_image_names(spark, sf_dir), "/images/drafts")
 
 
+def image_moves(spark, sf_dir):
+    """K4: where the pictures of committed drafts go."""
+    drafts, names = _image_names(spark, sf_dir)
+    commits = drafts.filter("steps > 2").select("draft_id", F.concat(F.lit("pdf-"), "draft_id").alias("recipe_id"))
+    return files.image_moves(names, commits, "/images/drafts", "/images")
+
+
+def key_conflicts(spark, sf_dir):
+    """Values of unique columns that stand in more than one row of the catalog, old crawls included."""
+    return schemas.repeated_keys(table(spark, sf_dir, "recipe"), "recipe")
+
+
 def step_presence(spark, sf_dir):
     """The last step image of every draft and which are there."""
     return files.step_presence(_image_names(spark, sf_dir)[1]).select("draft_id", "last_step", F.array_join("present", ",").alias("present"))
@@ -266,7 +279,7 @@ def shown_recipes(spark, sf_dir):
     return suggest.top_disjoint(_combos(spark, sf_dir)).select(F.explode("recipe_ids").alias("recipe_id"), "rank")
 
 
-QUERIES = [card_ingredients, card_nutrition, card_numbers, card_steps, card_reports, card_regions, serving_cells, draft_records, committed_drafts, committed_lines, cloned_lines, kept_lines, recipe_details, scaled_views, oldest_plan, manifest_upsert, error_head, draft_images, step_presence, image_paths, public_urls, rested_pool, suggest_seeded, shown_recipes]
+QUERIES = [card_ingredients, card_nutrition, card_numbers, card_steps, card_reports, card_regions, serving_cells, draft_records, committed_drafts, committed_lines, cloned_lines, kept_lines, recipe_details, scaled_views, oldest_plan, manifest_upsert, error_head, draft_images, image_moves, key_conflicts, step_presence, image_paths, public_urls, rested_pool, suggest_seeded, shown_recipes]
 
 
 def queries() -> dict:
@@ -310,6 +323,8 @@ SELECT r.id AS recipe_id, slug, ingredients, coalesce(variants, 0)::INTEGER AS v
         "manifest_upsert": f"WITH {site} SELECT m.url, CASE WHEN m.status = 'ok' AND m.lastmod = site.lastmod THEN m.lastmod ELSE site.lastmod END AS lastmod, CASE WHEN m.status = 'ok' AND m.lastmod = site.lastmod THEN '2025-10-01' ELSE '2025-10-02' END AS scraped_at, 'ok' AS status FROM m JOIN site USING (url)",
         "error_head": f"WITH {site} SELECT url, lastmod FROM m WHERE status = 'error' ORDER BY url LIMIT 10",
         "draft_images": f"WITH {names} SELECT draft_id, n::INTEGER AS step_no, CASE WHEN s.image_url IS NOT NULL THEN '/images/drafts/' || draft_id || '/step-' || n || '.png' END AS image_url, CASE WHEN s.heading IS NOT NULL THEN '/images/drafts/' || draft_id || '/step-' || n || '-text.png' END AS text_url FROM s",
+        "image_moves": f"WITH {names}, f AS (SELECT draft_id, 'step-' || n || '.png' AS file FROM s WHERE s.image_url IS NOT NULL UNION ALL SELECT draft_id, 'step-' || n || '-text.png' FROM s WHERE s.heading IS NOT NULL UNION ALL SELECT id, 'cover.png' FROM cur) SELECT '/images/drafts/' || draft_id || '/' || file AS source, CASE WHEN NOT contains(file, 'text') THEN '/images/pdf-' || draft_id || '/' || file END AS target FROM f JOIN cur ON cur.id = draft_id WHERE len(steps) > 2",
+        "key_conflicts": " UNION ALL ".join(f"SELECT '{c}' AS columns, {c} AS value, count(*) AS rows FROM recipe GROUP BY 2 HAVING count(*) > 1" for c in ("id", "hf_id", "slug")),
         "step_presence": f"WITH {names} SELECT draft_id, max(n)::INTEGER AS last_step, string_agg(n::VARCHAR, ',' ORDER BY n) AS present FROM s WHERE s.image_url IS NOT NULL GROUP BY 1",
         "image_paths": f"WITH {CUR}, p AS (SELECT id, calories, regexp_replace(image_url, '^https?://[^/]*/', '') AS p FROM cur WHERE image_url IS NOT NULL) SELECT id, CASE WHEN calories % 3 = 0 THEN false WHEN calories % 3 = 1 THEN NOT contains(p, '/') AND NOT contains(p, '..') AND p NOT IN ('', '.') ELSE NOT contains(p, '..') AND p NOT IN ('', '.') AND replace(p, '/', '') <> '' END AS safe FROM p",
         "public_urls": f"WITH {CUR} SELECT id, 'db://user:***@host/base?a=1' AS with_others, source_url AS alone FROM cur WHERE source_url IS NOT NULL",

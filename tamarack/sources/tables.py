@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
@@ -59,14 +60,46 @@ def staged_cards(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter(good), rows.filter(~good)
 
 
-def snapshot(tables: dict[str, DataFrame], path: str) -> None:
-    """A version of all tables, as Parquet."""
+def snapshot(tables: dict[str, DataFrame], path: str, version: str | None = None) -> None:
+    """A new version of all tables, as Parquet in a folder of its own; versions sort by name, by default the time. An existing one is an error."""
+    version = version or datetime.now(UTC).strftime("%Y%m%dT%H%M%S.%f")
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+        df.write.mode("error").parquet(f"{path}/version={version}/{name}.parquet")
 
 
-def restore(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}.parquet") for n in names}
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the versions in a folder, oldest first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(n.removeprefix("version=") for n in names if n.startswith("version="))
+
+
+def restore(spark: SparkSession, path: str, names: list[str], version: str | None = None) -> dict[str, DataFrame]:
+    """The named tables of a version, by default the last one."""
+    version = version or versions(spark, path)[-1]
+    return {n: spark.read.parquet(f"{path}/version={version}/{n}.parquet") for n in names}
+
+
+def fetched_pages(urls: DataFrame, make_fetch) -> DataFrame:
+    """(url, final_url, html, error) of pages; ``make_fetch()`` makes one function for each Python worker, from an address to (final address, text).
+
+    What the function raises is the row's error, and no other row is lost by it. How many pages are
+    fetched at once is the number of partitions.
+    """
+
+    def run(parts):
+        fetch = make_fetch()
+        for part in parts:
+            rows = []
+            for url in part["url"]:
+                try:
+                    rows.append((url, *fetch(url), None))
+                except Exception as x:  # noqa: BLE001
+                    rows.append((url, None, None, f"{type(x).__name__}: {x}"))
+            yield pd.DataFrame(rows, columns=["url", "final_url", "html", "error"])
+
+    return urls.select("url").filter("url is not null").mapInPandas(run, "url string, final_url string, html string, error string")
 
 
 # Content types of image files.
@@ -97,6 +130,16 @@ def draft_images(drafts: DataFrame, files: DataFrame, root: str) -> DataFrame:
     return there(there(step, "", "image_url"), "-text", "text_url").select("draft_id", "step_no", "image_url", "text_url")
 
 
+def image_moves(files: DataFrame, commits: DataFrame, drafts_root: str, recipes_root: str) -> DataFrame:
+    """(source, target) of every file of a committed draft: cover and step pictures go to the recipe's folder, previews nowhere (target null).
+
+    ``commits``: draft_id, recipe_id; ``files``: draft_id, file. Files of other drafts are not in the result.
+    """
+    kept = F.col("file").rlike(r"^(cover|step-\d+)\.png$")
+    rows = files.select("draft_id", "file").distinct().join(commits.select("draft_id", "recipe_id").distinct(), "draft_id")
+    return rows.select(F.concat_ws("/", F.lit(drafts_root), "draft_id", "file").alias("source"), F.when(kept, F.concat_ws("/", F.lit(recipes_root), "recipe_id", "file")).alias("target"))
+
+
 def step_presence(files: DataFrame) -> DataFrame:
     """(draft_id, last_step, present): greatest number of a step image and the set of those there, rising."""
     no = F.regexp_extract("file", r"^step-(\d+)\.png$", 1).try_cast("int")

@@ -3,7 +3,7 @@
 import json
 import struct
 
-from tamarack.sources import tables
+from tamarack.sources import schemas, tables
 from tamarack.streaming import ingest
 
 
@@ -41,3 +41,28 @@ def test_stream(spark, tmp_path):
         ingest.run(spark, *args).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/recipes")).count() == 1
     assert spark.read.parquet(str(tmp_path / "out/errors")).count() == 1
+
+
+def test_versions_fetches_and_schemas(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    assert tables.versions(spark, path) == []
+    for v, n in (("2025-01-01", 1), ("2025-02-01", 2)):
+        tables.snapshot({"t": spark.range(n)}, path, v)
+    assert tables.versions(spark, path) == ["2025-01-01", "2025-02-01"]
+    assert tables.restore(spark, path, ["t"])["t"].count() == 2 and tables.restore(spark, path, ["t"], "2025-01-01")["t"].count() == 1
+
+    def make_fetch():
+        def fetch(url):
+            if url == "bad":
+                raise ValueError("gone")
+            return url + "/", "<p>"
+
+        return fetch
+
+    out = {r.url: tuple(r)[1:] for r in tables.fetched_pages(spark.createDataFrame([("a",), ("bad",), (None,)], "url string"), make_fetch).collect()}
+    assert out == {"a": ("a/", "<p>", None), "bad": (None, None, "ValueError: gone")}
+    for name in schemas.TABLES:
+        assert schemas.empty(spark, name).count() == 0 and schemas.repeated_keys(schemas.empty(spark, name), name).count() == 0
+    schemas.create(spark, "ingredient", str(tmp_path / "i"))
+    rows = spark.createDataFrame([("1", "a", "x"), ("2", "a", "y"), ("3", None, "z"), ("4", None, "z")], "id string, canonical_name string, category string")
+    assert [tuple(r) for r in schemas.repeated_keys(rows, "ingredient").collect()] == [("canonical_name", "a", 2)]
