@@ -24,6 +24,10 @@ def _look(text: str) -> str:
     return f"nfc_normalize(translate({out}, '{_SPACES + _FULL + ''.join(TWINS)}', '{' ' * len(_SPACES) + _HALF + ''.join(TWINS.values())}'))"
 
 
+def _words(text: str) -> str:
+    return f"regexp_extract_all({_look(f'lower({_look(text)})')}, '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"{_PAIRS} SELECT item_a AS ingredient_id_a, item_b AS ingredient_id_b FROM q WHERE n_ab * n >= 3 * n_a * n_b",
@@ -41,6 +45,12 @@ SELECT * FROM (SELECT r AS recipe_id, count(*) OVER (PARTITION BY s) AS copies,
 c AS (SELECT r, count(*) AS k FROM i GROUP BY r), d AS (SELECT r, count(*) AS k FROM j GROUP BY r),
 p AS (SELECT i.r AS ra, j.r AS rb, count(*) AS n FROM i JOIN j ON i.x = j.x GROUP BY 1, 2 HAVING count(*) >= 6)
 SELECT ra AS recipe_id, rb AS basket, n::INTEGER AS common, (c.k + d.k - n)::INTEGER AS total FROM p JOIN c ON c.r = ra JOIN d ON d.r = rb WHERE 10 * n >= 7 * (c.k + d.k - n)""",
+        # Every run of 13 words of the documents against every run of the items; the index and its thresholds have no part in it.
+        "p6_found": f"""WITH d AS (SELECT doc_id, {_words('text')} AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+i AS (SELECT item_id, {_words('text')} AS w FROM (SELECT DISTINCT item_id, text FROM eval_item)),
+g AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+h AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (run)""",
         # Shortfalls do not depend on the tokenizer, so characters stand for tokens.
         "p7_found": r"""WITH d AS (SELECT DISTINCT doc_id, replace(lower(trim(source)), '-', '_') AS s, coalesce(length(text), 0) AS n FROM documents WHERE trim(coalesce(source, '')) <> ''),
 t AS (SELECT sum(n) AS n FROM d), k AS (SELECT s, sum(n) AS n FROM d GROUP BY s)
