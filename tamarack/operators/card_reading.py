@@ -18,17 +18,6 @@ LINE = "struct<text:string,x:double,y:double,red:boolean>"
 LEAST_LETTERS, LEAST_WIDTH, LABEL_GAP, PLAIN_COLUMNS, DOUBLE_COLUMNS = 3, 0.02, 0.005, 2, 4
 
 
-def match_nearest(anchors: Column, candidates: Column) -> Column:
-    """For each anchor in order the text of the nearest candidate by y that is still free, the first of equally near ones; null without any."""
-
-    def step(s: Column, a: Column) -> Column:
-        best = F.array_min(F.transform(s["free"], lambda c, i: F.struct(F.abs(c["y"] - a["y"]).alias("d"), i.alias("i"))))["i"]
-        return F.struct(F.filter(s["free"], lambda c, i: i != best).alias("free"), F.concat(s["out"], F.array(F.get(s["free"], best)["text"])).alias("out"))
-
-    start = F.struct(F.coalesce(candidates, F.array().cast(f"array<{LINE}>")).alias("free"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(anchors, start, step, lambda s: s["out"])
-
-
 def name_lines(lines: Column) -> Column:
     """Lines of the name column: short continuations joined to the line before, headings and what follows the table left out."""
 
@@ -52,7 +41,7 @@ def name_lines(lines: Column) -> Column:
 
 def ingredient_table(names: Column, columns: Column) -> Column:
     """array of struct(name, cells): each quantity column aligned with the names; a cell has quantity, unit and raw_text, "" where it is missing."""
-    matched = F.transform(columns, lambda lines: match_nearest(names, lines))
+    matched = F.transform(columns, lambda lines: C.match_nearest(names, lines))
 
     def cell(text: Column) -> Column:
         q = C.quantity_cell(text)
@@ -91,7 +80,7 @@ def nutrition_table(labels: Column, values: Column, wider: Column) -> Column:
     """
     rows, own, more = label_lines(labels), value_lines(values), value_lines(wider)
     chosen = F.when((F.size(own) < F.size(rows)) & (F.size(F.coalesce(more, F.array())) > F.size(own)), more).otherwise(own)
-    matched = match_nearest(rows, chosen)
+    matched = C.match_nearest(rows, chosen)
     field = F.transform(rows, lambda l, i: F.when((i == 0) & C.nutrient_of(l["text"]).isNull(), "calories").otherwise(C.nutrient_of(l["text"])))
     pairs = F.filter(F.arrays_zip(field.alias("field"), matched.alias("value")), lambda p: p["value"].isNotNull())
 

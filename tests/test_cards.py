@@ -24,9 +24,9 @@ def lines(*rows):
 
 def test_nearest_lines(spark):
     anchors, some = lines(("a", 1), ("b", 2), ("c", 9)), lines(("q", 2.2), ("p", 1.9))
-    assert one(spark, R.match_nearest(anchors, some)) == ["p", "q", None]
-    assert one(spark, R.match_nearest(lines(("a", 2)), lines(("first", 1), ("second", 3)))) == ["first"]
-    assert one(spark, R.match_nearest(anchors, lines())) == [None] * 3 and one(spark, R.match_nearest(lines(), some)) == []
+    assert one(spark, cards.match_nearest(anchors, some)) == ["p", "q", None]
+    assert one(spark, cards.match_nearest(lines(("a", 2)), lines(("first", 1), ("second", 3)))) == ["first"]
+    assert one(spark, cards.match_nearest(anchors, lines())) == [None] * 3 and one(spark, cards.match_nearest(lines(), some)) == []
 
 
 def test_ingredients_of_both_layouts(spark):
