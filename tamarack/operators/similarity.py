@@ -1,9 +1,9 @@
 """Near-duplicate baskets: IDF-weighted overlap of ingredient lists and star clustering.
 
 Lists are multisets: a repeated ingredient weighs as often as it stands. Candidate pairs share at
-least ``least`` distinct ingredients. They come from a join on a prefix of each list in rising
-document frequency: of n distinct ingredients only the n - least + 1 rarest can be needed, so the
-most frequent ingredients, whose groups grow with the square, hardly ever meet.
+least ``least`` distinct ingredients. Lists meet by the two rarest ingredients that both have: of n distinct
+ones in rising document frequency only the n - least + 1 rarest can be the first, and those up to one more the
+second. Two ingredients seldom stand together, so few unrelated lists meet.
 """
 
 from __future__ import annotations
@@ -27,65 +27,78 @@ def multiset(rows: DataFrame, id_col: str, list_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.explode(list_col).alias("item")).filter("id is not null and item is not null").groupBy("id", "item").agg(F.count("*").alias("times"))
 
 
-def overlaps(items: DataFrame, recipes: int, least: int = 6) -> DataFrame:
+def _numbered_lists(items: DataFrame, recipes: int, least: int) -> DataFrame:
+    """(k, id, own, weight): lists of ``least`` or more distinct items, each with its weight, rarest first.
+
+    ``own`` is an array of (rank, item as a 64-bit hash, weight, rest: the weight from there on).
+    """
+    order = Window.partitionBy("id").orderBy("df", "item")
+    rows = items.join(weights(items, recipes), "item").select("id", "item", "df", (F.col("times") * F.col("idf")).alias("w"))
+    ranked = rows.select("id", "item", "w", F.row_number().over(order).alias("rank"), F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("rest"))
+    lists = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", F.xxhash64("item").alias("item"), "w", "rest"))).alias("own")).filter(F.size("own") >= least)
+    # Checkpointed, so the running numbers, far shorter than ids, stay what they are if an executor is lost.
+    return materialize(lists.select(F.monotonically_increasing_id().alias("k"), "id", "own", F.get("own", F.lit(0))["rest"].alias("weight")))
+
+
+def _keys(least: int) -> Column:
+    """Array of (key, reach) of every two items of ``own`` that can be the rarest two of a pair's common ones; reach bounds the common weight.
+
+    With ``least`` below two, of every item. Posted rows grow with the square of a list's length.
+    """
+    n, own = F.size("own"), F.col("own")
+    if least < 2:
+        return F.transform(own, lambda x: F.struct(x["item"].alias("key"), x["rest"].alias("reach")))
+    first = F.slice(own, 1, n - least + 1)
+    return F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(own, i + 2, n - least + 1 - i), lambda y: F.struct(F.xxhash64(x["item"], y["item"]).alias("key"), (x["w"] + y["rest"]).alias("reach")))))
+
+
+def _posted(lists: DataFrame, keys: Column, x: str) -> DataFrame:
+    """One row for each key; hinted for a merge join, as the planner's estimate does not count exploded rows."""
+    one = lists.select("k", "weight", F.explode(keys).alias("t"))
+    return one.select(F.col("t.key").alias("key"), F.col("k").alias(f"k_{x}"), F.col("weight").alias(f"w_{x}"), F.col("t.reach").alias(f"reach_{x}")).hint("merge")
+
+
+def _verified(met: DataFrame, lists: DataFrame, least: int) -> DataFrame:
+    """(id_a, id_b, shared, sum_a, sum_b, w_a, w_b): pairs that share enough items, with the common weight by either list's own count."""
+    a, b = (lists.select(*[F.col(c).alias(f"{c}_{x}") for c in ("k", "id", "own", "weight")]).hint("merge") for x in "ab")
+    rows = met.join(a, "k_a").join(b, "k_b")
+    names = {x: F.transform(f"own_{x}", lambda i: i["item"]) for x in "ab"}
+    rows = rows.withColumn("both", F.array_intersect(names["a"], names["b"])).filter(F.size("both") >= least)
+    sums = {f"sum_{x}": F.aggregate(F.filter(f"own_{x}", lambda i: F.array_contains("both", i["item"])), F.lit(0.0), lambda s, i: s + i["w"]) for x in "ab"}
+    return rows.select("id_a", "id_b", F.size("both").cast("bigint").alias("shared"), *[c.alias(k) for k, c in sums.items()], F.col("weight_a").alias("w_a"), F.col("weight_b").alias("w_b"))
+
+
+def _directed(pairs: DataFrame, digits: int = 9) -> DataFrame:
+    """(id_a, id_b, shared, overlap): both directions, 0 without weight. Scores are rounded, so summing order does not matter."""
+    score = {x: F.round(F.coalesce(F.try_divide(F.col(f"sum_{x}"), F.least("w_a", "w_b")), F.lit(0.0)), digits) for x in "ab"}
+    ways = F.array(F.struct("id_a", "id_b", score["a"].alias("overlap")), F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), score["b"].alias("overlap")))
+    return pairs.select("shared", F.explode(ways).alias("e")).select("e.id_a", "e.id_b", "shared", "e.overlap")
+
+
+def overlaps(items: DataFrame, recipes: int, least: int = 6, digits: int = 9) -> DataFrame:
     """(id_a, id_b, shared, overlap): directed weighted overlap of all pairs that share at least ``least`` distinct items.
 
-    overlap(a, b) is the weight of a's items that b has over the smaller of both weights, 0 without weight.
-    It is not symmetric if items repeat. Scores are rounded to 9 decimals, so summing order does not matter.
+    overlap(a, b) is the weight of a's items that b has over the smaller of both weights.
+    It is not symmetric if items repeat.
     """
-    weighted = items.join(weights(items, recipes), "item")
-    total = weighted.groupBy("id").agg(F.sum(F.col("times") * F.col("idf")).alias("weight"), F.count("*").alias("n"))
-    by_rarity = Window.partitionBy("id").orderBy("df", "item")
-    ranked = weighted.select("id", "item", "times", "idf", F.row_number().over(by_rarity).alias("rank"), F.count("*").over(Window.partitionBy("id")).alias("n")).filter(F.col("n") >= least)
-    ranked = materialize(ranked)
-    prefix = ranked.filter(F.col("rank") <= F.col("n") - least + 1).select("id", "item")
-    a, b = prefix.select(F.col("id").alias("id_a"), "item"), prefix.select(F.col("id").alias("id_b"), "item")
-    met = a.join(b, "item").filter("id_a <> id_b").select("id_a", "id_b").distinct()
-    own = ranked.select(F.col("id").alias("id_a"), "item", "times", "idf")
-    other = ranked.select(F.col("id").alias("id_b"), "item")
-    common = met.join(own, "id_a").join(other, ["id_b", "item"]).groupBy("id_a", "id_b").agg(F.count("*").alias("shared"), F.sum(F.col("times") * F.col("idf")).alias("common")).filter(F.col("shared") >= least)
-    wa, wb = total.select(F.col("id").alias("id_a"), F.col("weight").alias("w_a")), total.select(F.col("id").alias("id_b"), F.col("weight").alias("w_b"))
-    score = F.coalesce(F.try_divide(F.col("common"), F.least("w_a", "w_b")), F.lit(0.0))
-    return common.join(wa, "id_a").join(wb, "id_b").select("id_a", "id_b", "shared", F.round(score, 9).alias("overlap"))
+    lists = _numbered_lists(items, recipes, least)
+    met = _posted(lists, _keys(least), "a").join(_posted(lists, _keys(least), "b"), "key").filter("k_a < k_b").select("k_a", "k_b").distinct()
+    return _directed(_verified(met, lists, least), digits)
 
 
 def similar_edges(items: DataFrame, recipes: int, threshold: float, least: int = 6) -> DataFrame:
     """(id_a, id_b, shared, overlap): both directions of all pairs of lists without repeats whose overlap reaches ``threshold``.
 
-    The same scores as ``overlaps``, from far fewer candidates. Lists meet by the two rarest items that both
-    have. If the lighter list of a pair reaches the threshold, the first of these with all from the second
-    on still makes up that share of its weight, so only the rarest few items of a list can be these two;
-    of the heavier list they can be any but the last ``least`` - 2. Two items seldom stand together, so few
-    unrelated lists meet. Posted rows grow with the square of a list's length.
+    The same scores as ``overlaps``, from far fewer candidates: if the lighter list of a pair reaches the threshold,
+    the rarest item that both have with all from the second on still makes up that share of its
+    weight, so only the rarest few items of the lighter list can be these two.
     """
-    if least < 2:
-        raise ValueError("lists meet by two items")
-    order = Window.partitionBy("id").orderBy("df", "item")
-    rows = items.filter("times = 1").join(weights(items, recipes), "item")
-    ranked = rows.select("id", "item", "idf", F.row_number().over(order).alias("rank"), F.sum("idf").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("rest"))
-    lists = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", F.xxhash64("item").alias("item"), "idf", "rest"))).alias("own")).filter(F.size("own") >= least)
-    # Checkpointed, so the running numbers, far shorter than ids, stay what they are if an executor is lost.
-    lists = materialize(lists.select(F.monotonically_increasing_id().alias("k"), "id", "own", F.get("own", F.lit(0))["rest"].alias("weight")))
-    n = F.size("own")
-    first = F.slice("own", 1, n - least + 1)
-    two = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice("own", i + 2, n - least + 1 - i), lambda y: F.struct(F.xxhash64(x["item"], y["item"]).alias("key"), (x["idf"] + y["rest"]).alias("reach")))))
+    lists = _numbered_lists(items.filter("times = 1"), recipes, least)
     bound = F.lit(threshold - 1e-6)
-    light = F.filter(two, lambda t: t["reach"] >= bound * F.col("weight"))
-
-    def posted(pairs: Column, x: str) -> DataFrame:
-        one = lists.select("k", "weight", F.explode(pairs).alias("t"))
-        return one.select(F.col("t.key").alias("key"), F.col("k").alias(f"k_{x}"), F.col("weight").alias(f"w_{x}"), F.col("t.reach").alias(f"reach_{x}"))
-
+    light = F.filter(_keys(least), lambda t: t["reach"] >= bound * F.col("weight"))
     lighter = (F.col("w_a") < F.col("w_b")) | ((F.col("w_a") == F.col("w_b")) & (F.col("k_a") < F.col("k_b")))
-    # Merge joins by hint: the planner's estimate does not count exploded rows.
-    met = posted(light, "a").hint("merge").join(posted(two, "b").hint("merge"), "key").filter(lighter & (F.col("reach_b") >= bound * F.col("w_a"))).select("k_a", "k_b").distinct()
-    a = lists.select(F.col("k").alias("k_a"), F.col("id").alias("id_a"), F.col("own").alias("own_a"), "weight")
-    b = lists.select(F.col("k").alias("k_b"), F.col("id").alias("id_b"), F.transform("own", lambda x: x["item"]).alias("items_b"))
-    pair = met.join(a.hint("merge"), "k_a").join(b.hint("merge"), "k_b").withColumn("common", F.filter("own_a", lambda x: F.array_contains("items_b", x["item"]))).filter(F.size("common") >= least)
-    score = F.coalesce(F.try_divide(F.aggregate("common", F.lit(0.0), lambda s, x: s + x["idf"]), F.col("weight")), F.lit(0.0))
-    found = pair.select("id_a", "id_b", F.size("common").cast("bigint").alias("shared"), F.round(score, 9).alias("overlap")).filter(F.col("overlap") >= threshold)
-    turned = F.explode(F.array(F.struct("id_a", "id_b"), F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))))
-    return found.select(turned.alias("e"), "shared", "overlap").select("e.*", "shared", "overlap")
+    met = _posted(lists, light, "a").join(_posted(lists, _keys(least), "b"), "key").filter(lighter & (F.col("reach_b") >= bound * F.col("w_a"))).select("k_a", "k_b").distinct()
+    return _directed(_verified(met, lists, least)).filter(F.col("overlap") >= threshold)
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 50, at_once: int = 200_000) -> DataFrame:

@@ -77,7 +77,7 @@ def idf_weights(spark, sf_dir):
 def basket_overlaps(spark, sf_dir):
     """Directed weighted overlap of recipes that share at least six ingredients."""
     sets = materialize(_sets(spark, sf_dir))
-    return similarity.overlaps(similarity.multiset(sets, "recipe_id", "ingredient_ids"), sets.count(), LEAST).withColumn("overlap", F.round("overlap", 6))
+    return similarity.overlaps(similarity.multiset(sets, "recipe_id", "ingredient_ids"), sets.count(), LEAST, digits=6)
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
