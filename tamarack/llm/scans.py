@@ -156,7 +156,7 @@ def shown_confusions(lines: DataFrame, words: set[str]) -> list[tuple[str, str]]
         rows = df.select("w", F.explode(F.concat(cut(1), cut(2))).alias("p")).select(F.col("w").alias(name), F.col("p.rest").alias("rest"), F.col("p.c").alias(f"{name}_c"))
         return rows.distinct()
 
-    met = keyed(unknown, "read").join(keyed(known, "printed"), "rest").filter("read_c <> printed_c and length(read_c) + length(printed_c) < 4")
+    met = keyed(unknown, "read").hint("merge").join(keyed(known, "printed").hint("merge"), "rest").filter("read_c <> printed_c and length(read_c) + length(printed_c) < 4")
     # The shortest pair that explains a token; those of one letter less on both sides only repeat it.
     met = met.groupBy("read").agg(F.count_distinct("printed").alias("n"), F.min(F.struct(F.length("read_c") + F.length("printed_c"), "read_c", "printed_c")).alias("p")).filter("n = 1")
     pairs = met.groupBy("p.read_c", "p.printed_c").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_SHOWN).limit(MOST + 1).collect()
