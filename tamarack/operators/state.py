@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import plain_number, slugify
+from tamarack.session import numbered, small_or_join
 
 KEPT = ["is_favourite", "is_hidden", "variant_of_id", "created_at", "id", "last_suggested_at"]
 
@@ -130,17 +131,24 @@ def resolve_names(names: DataFrame, aliases: DataFrame, ingredients: DataFrame,
 def unique_slugs(rows: DataFrame, taken: DataFrame, name_col: str = "name", id_col: str = "id") -> DataFrame:
     """(id, slug): the base slug for the first row of a name, then base-2, base-3 and so on, skipping what is taken.
 
-    Of the numbers 1 to (rows + taken with the base) enough are free, so the n-th free one is found by ranks.
+    Rows of a name and its taken numbers are ranked by sorts over the whole cluster, so a name of very many rows or
+    taken numbers never gathers in one task: before the i-th taken number k stand k - i free ones, so in one order of
+    rows by rank and taken numbers by k - i + 1, taken ones first, the place of a row is its number.
     """
-    base = rows.select(F.col(id_col).alias("id"), slugify(F.col(name_col)).alias("base"))
-    order = Window.partitionBy("base").orderBy("id")
-    base = base.withColumn("n", F.row_number().over(order))
+    base = rows.select(F.col(id_col).alias("id"), slugify(F.col(name_col)).alias("base")).filter("base is not null")
     used = taken.select(F.col("slug").alias("t")).distinct()
     stem = F.regexp_replace("t", r"-\d+$", "")
     number = F.coalesce(F.regexp_extract("t", r"-(\d+)$", 1).try_cast("int"), F.lit(1))
     used = used.select(F.explode(F.array(F.struct(stem.alias("base"), number.alias("k")), F.struct(F.col("t").alias("base"), F.lit(1).alias("k")))).alias("u")).select("u.base", "u.k").distinct()
-    sizes = base.groupBy("base").agg(F.max("n").alias("rows"))
-    busy = used.join(sizes, "base").groupBy("base").agg(F.collect_set("k").alias("busy"))
-    numbers = sizes.join(busy, "base", "left").select("base", F.array_except(F.sequence(F.lit(1), F.col("rows") + F.coalesce(F.size("busy"), F.lit(0))), F.coalesce("busy", F.array())).alias("free"))
-    out = base.join(numbers, "base").withColumn("k", F.get(F.array_sort("free"), F.col("n") - 1))
+    ranked = _places(base, "n", "base", "id")
+    busy = _places(used.filter("base is not null and k > 0"), "i", "base", "k")
+    events = ranked.select("base", F.col("n").alias("at"), F.lit(1).alias("free"), "id").unionByName(busy.select("base", (F.col("k") - F.col("i") + 1).alias("at"), F.lit(0).alias("free")), allowMissingColumns=True)
+    out = _places(events, "k", "base", "at", "free").filter("free = 1")
     return out.select("id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("k").cast("string"))).alias("slug"))
+
+
+def _places(rows: DataFrame, name: str, key: str, *order: str) -> DataFrame:
+    """Rows numbered from 1 within each key, in this order."""
+    placed, _ = numbered(rows, key, *order, name=name)
+    first = placed.groupBy(key).agg(F.min(name).alias("_first"))
+    return placed.join(small_or_join(first), key).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import threading
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -96,6 +97,20 @@ def test_unique_slugs(spark):
     assert {r.id: r.slug for r in state.unique_slugs(rows, taken).collect()} == {0: "a-b-2", 1: "a-b-4", 2: "a-b-5", 3: "c"}
 
 
+def test_unique_slugs_of_very_many_rows(spark):
+    n, used = 100_000, [2, 3, 7, 40_000, 99_999, 100_000, 300_000]
+    rows = spark.range(n).select("id", F.lit("Soup").alias("name")).unionByName(spark.createDataFrame([(-1, "Bake")], "id long, name string"))
+    taken = spark.createDataFrame([(f"soup-{k}",) for k in used], "slug string")
+    timer = threading.Timer(120, spark.sparkContext.cancelAllJobs)  # arrays of all numbers with each row take far longer
+    timer.start()
+    try:
+        out = {r.id: r.slug for r in state.unique_slugs(rows, taken).collect()}
+    finally:
+        timer.cancel()
+    free = (k for k in itertools.count(1) if k not in set(used))
+    assert out == {i: "soup" if k == 1 else f"soup-{k}" for i, k in zip(range(n), free)} | {-1: "bake"}
+
+
 def test_card_parts(spark):
     def one(c):
         return spark.range(1).select(c.alias("r")).first().r
