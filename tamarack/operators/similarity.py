@@ -13,6 +13,7 @@ from graphlib import TopologicalSorter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.operators import packed
 from tamarack.session import materialize
 
 
@@ -86,6 +87,14 @@ def overlaps(items: DataFrame, recipes: int, least: int = 6, digits: int = 9) ->
     return _directed(_verified(met, lists, least), digits)
 
 
+def list_overlaps(lists: DataFrame, id_col: str, list_col: str, names: list[str] | None, least: int = 6, digits: int = 9) -> DataFrame:
+    """The same as ``overlaps`` of lists with one row for each id; lists of places in ``names`` are compared packed, without shuffling pairs."""
+    if names is None or least < 2:
+        lists = materialize(lists)
+        return overlaps(multiset(lists, id_col, list_col), lists.count(), least, digits)
+    return _directed(packed.overlapping(lists, id_col, list_col, len(names), least), digits)
+
+
 def similar_edges(items: DataFrame, recipes: int, threshold: float, least: int = 6) -> DataFrame:
     """(id_a, id_b, shared, overlap): both directions of all pairs of lists without repeats whose overlap reaches ``threshold``.
 

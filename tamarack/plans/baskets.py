@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.operators import basket, browse, similarity, suggest
+from tamarack.operators import basket, browse, packed, similarity, suggest
 from tamarack.plans.catalog import CUR
 from tamarack.session import materialize, table
 
@@ -62,9 +62,13 @@ def set_scores(spark, sf_dir):
     return suggest.set_scores(_entries(spark, sf_dir).select(F.col("plan_id").alias("set_id"), "recipe_id", F.col("ingredient_id").alias("item")))
 
 
+def _greatest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("recipe_id").agg(F.max(F.struct("completeness_score", "ingredient_ids")).alias("r")).select("recipe_id", "r.*")
+
+
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One list for each recipe: of repeated rows the greatest."""
-    return table(spark, sf_dir, "recipe_ingredient_set").groupBy("recipe_id").agg(F.max(F.struct("completeness_score", "ingredient_ids")).alias("r")).select("recipe_id", "r.*")
+    return _greatest(table(spark, sf_dir, "recipe_ingredient_set"))
 
 
 def idf_weights(spark, sf_dir):
@@ -76,8 +80,10 @@ def idf_weights(spark, sf_dir):
 
 def basket_overlaps(spark, sf_dir):
     """Directed weighted overlap of recipes that share at least six ingredients."""
-    sets = materialize(_sets(spark, sf_dir))
-    return similarity.overlaps(similarity.multiset(sets, "recipe_id", "ingredient_ids"), sets.count(), LEAST, digits=6)
+    rows = table(spark, sf_dir, "recipe_ingredient_set").select("recipe_id", "completeness_score", "ingredient_ids")
+    names = packed.item_names(rows, "ingredient_ids")
+    lists = _greatest(packed.coded(rows, "ingredient_ids", names) if names is not None else rows)
+    return similarity.list_overlaps(lists, "recipe_id", "ingredient_ids", names, LEAST, digits=6)
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tamarack.operators import basket, browse, cards, ingest, similarity, state, suggest, units
+from tamarack.operators import basket, browse, cards, ingest, packed, similarity, state, suggest, units
 from tamarack.plans import baskets, scanned
 
 
@@ -51,6 +51,39 @@ def test_overlap_of_multisets(spark):
     assert out == {("a", "b"): round(2 / least, 9), ("b", "a"): round(1 / least, 9)}
 
 
+def test_packed_overlaps_like_the_joined_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [f"i{k}" for k in range(40)]
+    lists = [(f"r{n}", [rng.choice(vocabulary[: rng.choice([12, 40])]) if rng.random() > 0.02 else None for _ in range(rng.randrange(14))]) for n in range(150)]
+    rows = spark.createDataFrame([*lists, ("none", None), ("same", lists[0][1]), (None, lists[0][1])], "id string, l array<string>")
+    want = {(r.id_a, r.id_b): (r.shared, r.overlap) for r in similarity.overlaps(similarity.multiset(rows, "id", "l"), rows.count(), 4, 6).collect()}
+    names = packed.item_names(rows, "l")
+    assert names == sorted(vocabulary) and packed.item_names(rows, "l", 39) is None and len(want) > 500
+    for at_once in (packed.AT_ONCE, 20):  # then frequent items are shared out by the second one
+        monkeypatch.setattr(packed, "AT_ONCE", at_once)
+        out = similarity.list_overlaps(packed.coded(rows, "l", names), "id", "l", names, 4, 6).collect()
+        assert len(out) == len(want) and {(r.id_a, r.id_b): (r.shared, r.overlap) for r in out} == want
+    assert similarity.list_overlaps(packed.coded(rows.limit(0), "l", names), "id", "l", names, 4).count() == 0
+    few = [(r.id_a, r.id_b, r.shared, r.overlap) for r in similarity.list_overlaps(rows, "id", "l", None, 4, 6).collect()]
+    assert {(a, b): (s, o) for a, b, s, o in few} == want
+
+
+def test_basket_overlaps_shuffle_no_pairs(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(f"r{n}", [f"group{n % 20}-{k}" for k in range(3)] + rng.sample([f"often{k}" for k in range(60)], 6), n) for n in range(2000)]
+    spark.createDataFrame(rows, "recipe_id string, ingredient_ids array<string>, completeness_score bigint").write.parquet(str(tmp_path / "recipe_ingredient_set.parquet"))
+    sc = spark.sparkContext
+
+    def shuffled() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum({(s := stages.apply(i)).stageId(): s.shuffleWriteBytes() for i in range(stages.size())}.values())
+
+    before = shuffled()
+    assert baskets.basket_overlaps(spark, str(tmp_path)).count() < 10_000  # of 99,000 pairs that share three items
+    assert shuffled() - before < 2_000_000
+
+
 def test_star_clusters_like_the_sequential_pass(spark):
     rng = random.Random(5)
     nodes = [(f"n{i:02d}", rng.randrange(4)) for i in range(40)]
