@@ -46,6 +46,7 @@ BLOCK, CONTEXT = 4096, 128
 LEAST_SHOWN = 8
 MOST = 1_000_000
 MOST_WORDS = 5_000_000
+SHORT = 200  # letters of a line that is remembered
 LONG_WORD = 40  # letters; in longer words one confusion is undone, not two
 LEAST_TITLE = 4  # letters; fewer are left of page numbers and their misreads
 STATES = ("header", "body", "break")
@@ -67,10 +68,13 @@ _TOKEN = re.compile(r"\S+")
 _EDGE = "".join(re.escape(c) for c in ".,;:()\"?“”[]")
 
 
+_FOLDED = str.maketrans("01|!5@¢†ƒ987$", "olllsactfgbts")
+_NO_LETTERS = re.compile(r"[^a-z]+")
+
+
 def fold(text: str) -> str:
     """Letters only, with single-character confusions undone, for comparing titles."""
-    t = text.lower().translate(str.maketrans("01|!5@¢†ƒ987$", "olllsactfgbts"))
-    return re.sub(r"[^a-z]+", "", t)
+    return _NO_LETTERS.sub("", text.lower().translate(_FOLDED))
 
 
 def _fold_column(text: Column) -> Column:
@@ -84,9 +88,12 @@ def _title_part(text: Column) -> Column:
     return F.trim(t)
 
 
+_CARD_NUMBER = re.compile(r" *[·—] *[Nn]o\. *\S+ *$")
+_PAGE_NUMBER = re.compile(r"^\S{1,3} *\| *| *\| *\S{1,3}$| +[·—] +\S{1,3}$| {2,}\S{1,3}$")
+
+
 def title_part(text: str) -> str:
-    t = re.sub(r" *[·—] *[Nn]o\. *\S+ *$", "", text)
-    return re.sub(r"^\S{1,3} *\| *| *\| *\S{1,3}$| +[·—] +\S{1,3}$| {2,}\S{1,3}$", "", t).strip()
+    return _PAGE_NUMBER.sub("", _CARD_NUMBER.sub("", text)).strip()
 
 
 @lru_cache(maxsize=1 << 16)
@@ -170,7 +177,7 @@ class Lexicon:
     """Known words, and what an unknown one was before it was misread."""
 
     def __init__(self, words: set[str], confusions: Confusions = USUAL):
-        self.words, self.confusions, self.memory = words, confusions, {}
+        self.words, self.confusions, self.memory, self.texts = words, confusions, {}, {}
 
     def known(self, word: str) -> bool:
         """Known as a whole, or made of known parts joined by hyphens."""
@@ -211,39 +218,110 @@ def _number_like(core: str) -> bool:
     return bool(re.fullmatch(rf"[{_D}]+", core)) and any(c.isdigit() for c in core)
 
 
+def _most_edits(length: int) -> int:
+    """No two folded titles that are ``_close`` and one of which has this length are further apart."""
+    return max(1, length // 7) + 1
+
+
+def _remembered(memory: dict, key, make, most: int = 50_000):
+    """``make()`` for this key, from memory if it is there; the memory is bounded."""
+    if key not in memory:
+        if len(memory) >= most:
+            memory.clear()
+        memory[key] = make()
+    return memory[key]
+
+
 class Titles:
-    """Running titles of the corpus, compared with tolerance for misreads."""
+    """Running titles of the corpus, compared with tolerance for misreads.
+
+    Misread titles that stand on several pages are titles too, so their number grows with the corpus. A title is cut into one
+    piece more than the edits that it may be apart from a text, so one piece stands in a close text unchanged, at most so many
+    places off; a text is compared only with titles of which it has a piece.
+    """
 
     def __init__(self, keys: list[str]):
-        self.keys, self.memory = sorted(keys), {}
-        self.by_length: dict[int, list[str]] = {}
-        for k in self.keys:
-            self.by_length.setdefault(len(k), []).append(k)
+        self.keys, self.memory, self.looks = sorted(keys), {}, {}
         self.exact = set(keys)
+        self.pieces: dict[str, list[tuple[int, str]]] = {}
+        for k in self.keys:
+            n = min(_most_edits(len(k)) + 1, len(k))
+            ends = [len(k) * i // n for i in range(n + 1)] if n else []
+            for i, j in zip(ends, ends[1:], strict=False):
+                self.pieces.setdefault(k[i:j], []).append((i, k))
+        self.sizes = sorted({len(p) for p in self.pieces})
+        self.lengths = {n for k in self.exact for n in range(len(k) - 4, len(k) + 5)}
 
     def has(self, text: str) -> bool:
         key = fold(title_part(text))
         if key in self.exact:
             return True
-        if len(key) < LEAST_TITLE:
+        if len(key) < LEAST_TITLE or len(key) not in self.lengths:
             return False
-        if key not in self.memory:
-            near = [k for n in range(len(key) - 4, len(key) + 5) for k in self.by_length.get(n, ())]
-            self.memory[key] = any(_close(key, k) for k in near)
-        return self.memory[key]
+        return _remembered(self.memory, key, lambda: any(_close(key, k) for k in self._near(key)))
+
+    def _near(self, key: str) -> Iterator[str]:
+        """Titles of about this length of which the key has a piece where it may stand; all that are close are among them."""
+        done = set()
+        for size in self.sizes:
+            for at in range(len(key) - size + 1):
+                for start, k in self.pieces.get(key[at : at + size], ()):
+                    if k not in done and abs(len(k) - len(key)) <= 4 and abs(start - at) <= _most_edits(len(k)):
+                        done.add(k)
+                        yield k
+
+
+_STRAY_FIRST = re.compile(rf"^[{re.escape(STRAYS)}]+ +(?=\S)")
+_STRAY_LAST = re.compile(rf"(?<=\S) +[{re.escape(STRAYS)}]+$")
 
 
 def strip_strays(text: str) -> tuple[str, bool]:
     """The text without stray marks at its ends, and whether there were any."""
     t = text.strip()
     out = t
-    while m := re.match(rf"^[{re.escape(STRAYS)}]+ +(?=\S)", out):
+    while m := _STRAY_FIRST.match(out):
         out = out[m.end() :]
-    while m := re.search(rf"(?<=\S) +[{re.escape(STRAYS)}]+$", out):
+    while m := _STRAY_LAST.search(out):
         out = out[: m.start()]
     return out, out != t
 
 
+def _look(t: str, titles: Titles, names: set[str]) -> tuple[str, bool]:
+    """The pattern of a line without stray marks, and whether it numbers pages in a style of its own."""
+
+    def name_like(part: str) -> bool:
+        k = fold(part)
+        return k in names or (len(k) > 6 and any(fold(w) in names for w in USUAL.undone(part.lower())))
+
+    bare = title_part(t)
+    words = re.split(r" [wWvV]\S{1,3}[hHbB] ", bare, maxsplit=1)
+    two_names = len(words) == 2 and len(bare) < 90 and bare[:1].upper() == bare[:1] and name_like(words[0]) and name_like(words[1])
+    if not t:
+        p = "text"
+    elif _PAGE.match(t) or _LOOSE_PAGE.match(t):
+        p = "page"
+    elif _BARE.match(t):
+        p = "bare"
+    elif titles.has(t):
+        p = "series"
+    elif " — " in t and len(t) < 100 and re.match(r"^\S{3,5} \S+ — ", t):
+        p = "card"
+    elif re.search(r" +· +\S{1,3}$| · [Nn]o\.", t):
+        p = "title+number"
+    elif two_names:
+        p = "title" if bare == t else "title+number"
+    elif _SERVES.match(t) and fold(t.split(" ")[0]) in ("serves", "servcs", "scrves", "scrvcs"):
+        p = "serves"
+    elif _NUMBERED.match(t) and len(t) < 40 and not t.endswith((".", ",")):
+        p = "heading"
+    elif len(t) < 40 and sum(c.isalpha() for c in t) > 3 and not any(c.islower() for c in re.sub(r"[a-z](?=[^a-z]|$)", "", t)) and sum(c.isupper() for c in t) > sum(c.islower() for c in t):
+        p = "heading"
+    else:
+        p = "text"
+    own = p == "page" or (p in ("series", "title+number") and bool(re.search(r"(?:^|[\s|·])\d{1,3}(?:\s*\||$)", t)) and " No" not in t)
+    return p, own
+
+
 def features(pdf: pd.DataFrame, titles: Titles, names: set[str], inside: bool) -> list[tuple[str, str, str, str]]:
     """(pattern, place, number, seed) of the lines of one block in reading order."""
     texts = [strip_strays(t or "")[0] for t in pdf["text"]]
@@ -251,40 +329,9 @@ def features(pdf: pd.DataFrame, titles: Titles, names: set[str], inside: bool) -
     n = len(texts)
     first = [i == 0 or pages[i] != pages[i - 1] for i in range(n)]
     last = [i == n - 1 or pages[i] != pages[i + 1] for i in range(n)]
-
-    def name_like(part: str) -> bool:
-        k = fold(part)
-        return k in names or (len(k) > 6 and any(fold(w) in names for w in USUAL.undone(part.lower())))
-
-    patterns = []
-    for t in texts:
-        bare = title_part(t)
-        words = re.split(r" [wWvV]\S{1,3}[hHbB] ", bare, maxsplit=1)
-        two_names = len(words) == 2 and len(bare) < 90 and bare[:1].upper() == bare[:1] and name_like(words[0]) and name_like(words[1])
-        if not t:
-            p = "text"
-        elif _PAGE.match(t) or _LOOSE_PAGE.match(t):
-            p = "page"
-        elif _BARE.match(t):
-            p = "bare"
-        elif titles.has(t):
-            p = "series"
-        elif " — " in t and len(t) < 100 and re.match(r"^\S{3,5} \S+ — ", t):
-            p = "card"
-        elif re.search(r" +· +\S{1,3}$| · [Nn]o\.", t):
-            p = "title+number"
-        elif two_names:
-            p = "title" if bare == t else "title+number"
-        elif _SERVES.match(t) and fold(t.split(" ")[0]) in ("serves", "servcs", "scrves", "scrvcs"):
-            p = "serves"
-        elif _NUMBERED.match(t) and len(t) < 40 and not t.endswith((".", ",")):
-            p = "heading"
-        elif len(t) < 40 and sum(c.isalpha() for c in t) > 3 and not any(c.islower() for c in re.sub(r"[a-z](?=[^a-z]|$)", "", t)) and sum(c.isupper() for c in t) > sum(c.islower() for c in t):
-            p = "heading"
-        else:
-            p = "text"
-        patterns.append(p)
-    own_style = any(p == "page" or (p in ("series", "title+number") and re.search(r"(?:^|[\s|·])\d{1,3}(?:\s*\||$)", t) and " No" not in t) for p, t in zip(patterns, texts, strict=True))
+    looks = [_remembered(titles.looks, t, lambda: _look(t, titles, names)) if len(t) <= SHORT else _look(t, titles, names) for t in texts]
+    patterns = [p for p, _ in looks]
+    own_style = any(own for _, own in looks)
     seen: list[str] = []
     out = []
     for i, (t, p) in enumerate(zip(texts, patterns, strict=True)):
@@ -292,8 +339,9 @@ def features(pdf: pd.DataFrame, titles: Titles, names: set[str], inside: bool) -
         number, seed = "none", ""
         if p == "title":
             key = fold(t)
-            again = any(_close(key, s) for s in seen) or inside or (i + 1 < n and patterns[i + 1] == "title" and _close(key, fold(texts[i + 1])))
-            if not any(_close(key, s) for s in seen):
+            known = any(_close(key, s) for s in seen)
+            again = known or inside or (i + 1 < n and patterns[i + 1] == "title" and _close(key, fold(texts[i + 1])))
+            if not known:
                 seen.append(key)
             late = place == "first" and pages[i] is not None and pages[i] > 1
             number, seed = ("again", "header") if again else ("late", "header") if late else ("new", "break")
@@ -339,19 +387,25 @@ class Model:
                 total = sum(table.get((factor, s, v), 0) for v in vs)
                 for v in vs:
                     self.logs[factor, s, v] = math.log((table.get((factor, s, v), 0) + 0.1) / (total + 0.1 * len(vs)))
+        self.emissions, self.pages = {}, {}
+        self.trans = np.array([[self.logs.get(("next", a, b), -3.0) for b in STATES] for a in STATES])
 
     def emission(self, pattern: str, place: str, number: str) -> np.ndarray:
-        return np.array([self.logs.get(("pattern", s, sign(pattern, place, number)), -12.0) + self.logs.get(("place", s, place), -8.0) for s in STATES])
+        look = (pattern, place, number)
+        return _remembered(self.emissions, look, lambda: np.array([self.logs.get(("pattern", s, sign(*look)), -12.0) + self.logs.get(("place", s, place), -8.0) for s in STATES]))
 
     def decode(self, lines: list[tuple[str, str, str]]) -> list[str]:
-        """The most probable states of one page (Viterbi)."""
+        """The most probable states of one page; pages that look the same are decoded once."""
+        return _remembered(self.pages, tuple(lines), lambda: self._decode(lines), 5_000) if len(lines) <= 64 else self._decode(lines)
+
+    def _decode(self, lines: list[tuple[str, str, str]]) -> list[str]:
+        """Viterbi."""
         if not lines:
             return []
-        trans = np.array([[self.logs.get(("next", a, b), -3.0) for b in STATES] for a in STATES])
         score = self.emission(*lines[0])
         back = []
         for line in lines[1:]:
-            step = score[:, None] + trans
+            step = score[:, None] + self.trans
             back.append(step.argmax(axis=0))
             score = step.max(axis=0) + self.emission(*line)
         k = int(score.argmax())
@@ -542,7 +596,10 @@ def _defects(pdf: pd.DataFrame, labels: list[str], patterns: list[str], lexicon:
     for i, t in enumerate(texts):
         step = int(labels[i] == "break") + int(i > 0 and labels[i - 1] == "break") + int(i > 0 and kinds[i] == "card_step" and records[i] != records[i - 1])
         page = patterns[i] in ("page", "bare", "series", "card", "title+number")
-        bad, fixed = misreads(t, lexicon, head.get(i, ""), tail.get(i, ""), page)
+        if i in head or i in tail or len(t) > SHORT:
+            bad, fixed = misreads(t, lexicon, head.get(i, ""), tail.get(i, ""), page)
+        else:
+            bad, fixed = _remembered(lexicon.texts, (t, page), lambda: misreads(t, lexicon, is_page=page))
         if i in joined:
             fixed = fixed[:-1] if i in hyphen else fixed
         out.append((labels[i] == "header" and bool(bare[i]), i in hyphen, bad and bool(t.strip()), step, fixed, i in joined))

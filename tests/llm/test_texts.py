@@ -340,6 +340,30 @@ def test_running_titles_of_one_draft(spark):
     assert furniture == {s + 10 * p + n for s in (0, 100, 200) for p in range(1, 5) for n in (0, 3)} - {210}
 
 
+def test_titles_are_found_without_comparing_all(monkeypatch):
+    rng = random.Random(7)
+
+    def word(n):
+        return "".join(rng.choices("abcdefghijklmnop", k=n))
+
+    def edited(t, n):
+        for _ in range(n):
+            i = rng.randrange(len(t) + 1)
+            t = t[:i] + rng.choice(["", rng.choice("abcdefgh")]) + t[i + rng.choice([0, 1]) :]
+        return t
+
+    keys = [word(rng.randrange(4, 30)) for _ in range(300)]
+    keys += [edited(k, 2) for k in keys if len(k) > 12 for _ in range(4)]
+    near = [edited(rng.choice(keys), rng.randrange(7)) for _ in range(1500)]
+    far = [word(rng.randrange(12, 30)) for _ in range(500)]
+    want = [t in keys or len(t) >= scans.LEAST_TITLE and any(abs(len(k) - len(t)) <= 4 and scans._close(t, k) for k in keys) for t in near + far]
+    calls = []
+    monkeypatch.setattr(scans, "_close", lambda a, b, one=scans._close: calls.append(a) or one(a, b))
+    titles = scans.Titles(keys)
+    assert [titles.has(t) for t in near + far] == want and 300 < sum(want) < 1500
+    assert len(set(calls) & set(far)) and sum(a in set(far) for a in calls) < 500 * len(keys) / 20
+
+
 def test_cells(spark):
     rows = [(i, t) for i, t in enumerate(["250 g", "250g", "2S0 g", "e 150 ml", "1½ small pot", "", None, "|tbsp", "½ unit(s)", "4OO grams", "2 unit(5)"])] + [(100 + i, "2 small pot") for i in range(5)]
     df = spark.createDataFrame(rows + rows[:2], "cell_id long, raw_text string").withColumn("unit", F.lit("clash"))
